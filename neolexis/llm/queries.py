@@ -19,8 +19,42 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lpad(F.lower(F.hex("f0")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def _tokenizer() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op1_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .token_output import checksums, token_table
+
+    return checksums(token_table(_table(spark, sf_dir, "documents"), _tokenizer()))
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .common import Scratch, word_count
+    from .packing import pack
+
+    docs = _table(spark, sf_dir, "documents")
+    return pack(docs, Scratch(spark), ["doc_id"], word_count(F.col("text")), F.xxhash64(F.lit(6), "doc_id", "text"))
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .common import Scratch
+    from .mixing import mix
+
+    mixed = mix(_table(spark, sf_dir, "documents"), Scratch(spark), ["doc_id"])
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", F.col("uses.position").alias("positions"))
+
+
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import archive
+
+    return archive(_table(spark, sf_dir, "pages")).drop("payload")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_simhash": op3_simhash}
+    return {f.__name__: f for f in (op1_token_output, op3_simhash, op6_packing, op7_mixing, op10_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
