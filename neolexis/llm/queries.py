@@ -38,6 +38,19 @@ def op1_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checksums(token_table(_table(spark, sf_dir, "documents"), _tokenizer()))
 
 
+def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .multi_index import near_duplicates
+
+    return near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
+def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .forest import search
+
+    vectors = _table(spark, sf_dir, "embeddings")
+    return search(vectors, vectors.where("vec_id % 50 = 0"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .common import Scratch, word_count
     from .packing import pack
@@ -61,7 +74,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_output, op2_pii, op3_simhash, op6_packing, op7_mixing, op10_warc)}
+    return {f.__name__: f for f in (op1_token_output, op2_pii, op3_simhash, op5_embedding_dedup, op6_packing, op7_mixing, op9_nearest, op10_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
