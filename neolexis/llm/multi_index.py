@@ -111,7 +111,7 @@ def _compare(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa
                 for at in range(0, len(i), 1 << 16):
                     s = slice(at, at + (1 << 16))
                     twice[s] = (table[i[s]] == cell[j[s]][:, None]).any(1)
-            keep = ~twice | (cell[i] < cell[j])
+            keep = ~twice | (cell[i] <= cell[j])  # within a cell, once anyway
         i, j = i[keep], j[keep]
         if not len(i):
             return empty
