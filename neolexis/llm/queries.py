@@ -38,6 +38,12 @@ def op1_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checksums(token_table(_table(spark, sf_dir, "documents"), _tokenizer()))
 
 
+def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substrings import remove_repeats
+
+    return remove_repeats(_table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .multi_index import near_duplicates
 
@@ -74,7 +80,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_output, op2_pii, op3_simhash, op5_embedding_dedup, op6_packing, op7_mixing, op9_nearest, op10_warc)}
+    return {f.__name__: f for f in (op1_token_output, op2_pii, op3_simhash, op4_substrings, op5_embedding_dedup, op6_packing, op7_mixing, op9_nearest, op10_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
