@@ -33,9 +33,9 @@ def _tokenizer() -> str:
 
 
 def op1_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .token_output import checksums, token_table
+    from .token_output import checksums, written_tokens
 
-    return checksums(token_table(_table(spark, sf_dir, "documents"), _tokenizer()))
+    return checksums(spark, written_tokens(_table(spark, sf_dir, "documents"), _tokenizer()))
 
 
 def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,6 +50,12 @@ def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "embeddings"))
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import classify
+
+    return classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), ["doc_id"])
+
+
 def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .forest import search
 
@@ -80,7 +86,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_output, op2_pii, op3_simhash, op4_substrings, op5_embedding_dedup, op6_packing, op7_mixing, op9_nearest, op10_warc)}
+    return {f.__name__: f for f in (op1_token_output, op2_pii, op3_simhash, op4_substrings, op5_embedding_dedup, op6_packing, op7_mixing, op8_quality, op9_nearest, op10_warc)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -15,8 +16,10 @@ from pyspark.sql import functions as F
 
 from .common import scratch_path
 
-#: Entries of each of a worker's two generations of encoded words.
+#: Encoded words that a worker keeps; beyond it the least recently used half goes.
 CACHE_WORDS = 400_000
+#: A word of letters whose lower case is one character each, and marks after it: the splitter cuts between them.
+_CORE = re.compile(r"([a-zA-Z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u012F]+)([!-&(-/:-@\[-`{-~]*)")
 _encoders: dict[str, WordEncoder] = {}
 
 
@@ -24,8 +27,9 @@ class WordEncoder:
     """Encodes texts with a tokenizer that drops white space, each distinct word of a batch once.
 
     The vocabulary's normalizer and splitter never join characters over white space, so a text's ids are the
-    ids of its words between ASCII white space, one after the other (tests compare this with encoding whole
-    texts). Recently used words stay in two generations of bounded size.
+    ids of its words between ASCII white space, one after the other; neither do they join letters with marks
+    other than the apostrophe (tests compare this with encoding whole texts). The ids of known words lie in one
+    array; the number of known words is bounded.
     """
 
     def __init__(self, path: str):
@@ -33,61 +37,94 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.young: dict[str, np.ndarray] = {}
-        self.old: dict[str, np.ndarray] = {}
-
-    def _encode_new(self, words: list[str]) -> list[np.ndarray]:
-        # one call for many words: a digit is always a token of its own, so words without digits are cut apart at it
-        mark = self.tokenizer.encode("7", add_special_tokens=False).ids
-        plain = len(mark) == 1
-        out: list[np.ndarray | None] = [None] * len(words)
-        easy = [i for i, w in enumerate(words) if plain and w.isalpha()]
+        self.mark = self.tokenizer.encode("7", add_special_tokens=False).ids
+        self.known: dict[str, int] = {}
+        self.flat, self.begin, self.size, self.used = np.zeros(1 << 16, np.int32), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int32), np.zeros(1 << 14, np.int32)
+        self.end = self.batch = 0
+
+    def _add(self, words: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        at, n = len(self.known), len(words)
+        while self.end + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        while at + n > len(self.begin):
+            self.begin, self.size, self.used = (np.concatenate([x, np.zeros_like(x)]) for x in (self.begin, self.size, self.used))
+        self.flat[self.end : self.end + len(ids)] = ids
+        self.begin[at : at + n] = self.end + np.cumsum(sizes) - sizes
+        self.size[at : at + n] = sizes
+        self.end += len(ids)
+        self.known.update(zip(words, range(at, at + n)))
+
+    def _encode_new(self, words: list[str]) -> None:
+        """Words without repeats that aren't known yet."""
+        # a digit is always a token of its own, so many words without digits go in one call and are cut apart at it
+        easy, hard = [], []
+        for w in words:
+            (easy if len(self.mark) == 1 and w.isalpha() else hard).append(w)
         for at in range(0, len(easy), 4096):
             part = easy[at : at + 4096]
-            ids = np.array(self.tokenizer.encode_batch_fast([" 7 ".join(words[i] for i in part)], add_special_tokens=False)[0].ids, np.int32)
-            cuts = np.flatnonzero(ids == mark[0])
+            ids = np.array(self.tokenizer.encode_batch_fast([" 7 ".join(part)], add_special_tokens=False)[0].ids, np.int32)
+            inside = ids != self.mark[0]
+            cuts = np.flatnonzero(~inside)
             if len(cuts) == len(part) - 1:
-                for i, x in zip(part, np.split(ids, cuts)):
-                    out[i] = x if len(x) == 0 or x[0] != mark[0] else x[1:]
-        hard = [i for i, x in enumerate(out) if x is None]
+                edges = np.concatenate([[-1], cuts, [len(ids)]])
+                self._add(part, ids[inside], np.diff(edges) - 1)
+            else:
+                hard += part
         for at in range(0, len(hard), 4096):
             part = hard[at : at + 4096]
-            for i, e in zip(part, self.tokenizer.encode_batch_fast([words[i] for i in part], add_special_tokens=False)):
-                out[i] = np.array(e.ids, np.int32)
-        return out
+            found = [e.ids for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
+            self._add(part, np.array([i for x in found for i in x], np.int32), np.fromiter(map(len, found), np.int64, len(found)))
+
+    def _forget(self) -> None:
+        n = len(self.known)
+        keep = np.flatnonzero(self.used[:n] > np.partition(self.used[:n], n // 2)[n // 2])
+        words = list(self.known)
+        sizes = self.size[keep]
+        flat = self._gather(keep)
+        self.known, self.end = {}, 0
+        used = self.used[keep]
+        self._add([words[i] for i in keep.tolist()], flat, sizes)
+        self.used[: len(keep)] = used
+
+    def _gather(self, slots: np.ndarray) -> np.ndarray:
+        sizes = self.size[slots].astype(np.int64)
+        total = np.cumsum(sizes)
+        return self.flat[np.repeat(self.begin[slots] - total + sizes, sizes) + np.arange(total[-1] if len(total) else 0)]
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids of all texts, and each text's number of ids."""
+        self.batch += 1
         lists = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
         coded = lists.flatten().dictionary_encode()
         words = coded.dictionary.to_pylist()
-        known: list[np.ndarray | None] = []
-        missing: list[int] = []
-        young, old = self.young, self.old
-        for i, w in enumerate(words):
-            ids = young.get(w)
-            if ids is None:
-                ids = old.get(w)
-                if ids is None:
-                    missing.append(i)
-                else:
-                    young[w] = ids
-            known.append(ids)
-        for i, ids in zip(missing, self._encode_new([words[i] for i in missing])):
-            known[i] = ids
-            if len(words[i]) <= 40:
-                young[words[i]] = ids
-        if len(young) > CACHE_WORDS:
-            self.old, self.young = young, {}
-        size = np.fromiter(map(len, known), np.int64, len(known))
-        begin = np.concatenate([[0], np.cumsum(size)])
-        flat = np.concatenate([*known, np.zeros(0, np.int32)]).astype(np.int32)
-        index = coded.indices.to_numpy(zero_copy_only=False)
-        lengths = size[index]
-        total = np.concatenate([[0], np.cumsum(lengths)])
-        ids = flat[np.repeat(begin[index] - total[:-1], lengths) + np.arange(total[-1])]
+        # a distinct word is one known piece or two: letters in lower case, and marks
+        pieces, count, new = [], [], {}
+        known, core = self.known, _CORE.fullmatch
+        for w in words:
+            if w in known or (m := core(w)) is None:
+                pieces.append(w)
+                count.append(1)
+            else:
+                letters, marks = m.groups()
+                pieces.append(letters.lower())
+                count.append(1)
+                if marks:
+                    pieces.append(marks)
+                    count[-1] = 2
+        for w in pieces:
+            if w not in known:
+                new[w] = None
+        self._encode_new(list(new))
+        slots = np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces))
+        self.used[slots] = self.batch
+        ends = np.concatenate([[0], np.cumsum(self.size[slots])])[np.concatenate([[0], np.cumsum(np.array(count, np.int64))])]
+        each = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(self._gather(slots)))
+        taken = each.take(coded.indices)
+        total = np.asarray(taken.offsets)
         offsets = np.asarray(lists.offsets) - lists.offsets[0].as_py()
-        return ids, total[offsets[1:]] - total[offsets[:-1]]
+        if len(self.known) > CACHE_WORDS:
+            self._forget()
+        return np.asarray(taken.values)[total[0] : total[-1]], (total[offsets[1:]] - total[offsets[:-1]]).astype(np.int64)
 
 
 def encoder(path: str) -> WordEncoder:
@@ -96,7 +133,7 @@ def encoder(path: str) -> WordEncoder:
     return _encoders[path]
 
 
-def _pieces(batch: pa.RecordBatch, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def _pieces(batch: pa.RecordBatch, most: int = 6 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of about `most` bytes of text, at least a row each."""
     at = 0
     sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False))
@@ -138,39 +175,51 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, id_col: str =
     )
 
 
+def _rows(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("doc_id bigint, part int, before bigint, n_tokens int, ids array<int>").orc(path)
+
+
+def _with_start(rows: DataFrame, written: DataFrame) -> DataFrame:
+    """Replace part and before by start, from the totals of the files: one row a file."""
+    totals = written.groupBy("part").agg(F.max(F.col("before") + F.col("n_tokens")).alias("total"))
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    bases = totals.select(F.col("part").alias("_part"), F.coalesce(F.sum("total").over(earlier), F.lit(0)).alias("_base"))
+    return rows.join(bases, rows["part"] == bases["_part"]).withColumn("start", F.col("_base") + F.col("before")).drop("part", "before", "_part", "_base")
+
+
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     """The written rows with start: the number of ids of all documents before, over all files.
 
-    The files' totals are one row a file; rows are read stripe-parallel.
+    Rows are read stripe-parallel.
     """
-    rows = spark.read.schema("doc_id bigint, part int, before bigint, n_tokens int, ids array<int>").orc(path)
-    totals = rows.groupBy("part").agg(F.max(F.col("before") + F.col("n_tokens")).alias("total"))
-    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    bases = totals.select("part", F.coalesce(F.sum("total").over(earlier), F.lit(0)).alias("base"))
-    return rows.join(bases, "part").withColumn("start", F.col("base") + F.col("before")).drop("part", "before", "base")
+    rows = _rows(spark, path)
+    return _with_start(rows, rows)
 
 
 def lookup(spark: SparkSession, path: str, doc_id: int) -> DataFrame:
     """One document's ids: files and row groups without it are pruned by minima, maxima and Bloom filters."""
-    return read_tokens(spark, path).where(F.col("doc_id") == doc_id)
+    rows = _rows(spark, path)
+    return _with_start(rows.where(F.col("doc_id") == doc_id), rows)
 
 
-def checksums(tokens: DataFrame) -> DataFrame:
-    """doc_id, start, n_tokens (long) and ids_crc32 (long) of the ids as little-endian unsigned 32-bit integers."""
+def checksums(spark: SparkSession, path: str) -> DataFrame:
+    """doc_id, start, n_tokens (long) and ids_crc32 (long) of the written ids as little-endian unsigned 32-bit integers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column(3)
+            lists = batch.column(4)
             offsets = np.asarray(lists.offsets)
             values = np.asarray(lists.values).astype("<u4")
             crc = [zlib.crc32(values[a:b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(crc, pa.int64())], names=["doc_id", "part", "before", "n_tokens", "ids_crc32"])
 
-    return tokens.select("doc_id", "start", F.col("n_tokens").cast("long"), "ids").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    rows = _rows(spark, path)
+    sums = rows.select("doc_id", "part", "before", F.col("n_tokens").cast("long").alias("n_tokens"), "ids").mapInArrow(run, "doc_id long, part int, before long, n_tokens long, ids_crc32 long")
+    return _with_start(sums, rows).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
-def token_table(docs: DataFrame, tokenizer_path: str) -> DataFrame:
-    """Write docs to the shared folder and read them back."""
+def written_tokens(docs: DataFrame, tokenizer_path: str) -> str:
+    """Write docs below the shared folder; returns the path."""
     path = scratch_path(docs.sparkSession, "tokens")
     write_tokens(docs, path, tokenizer_path)
-    return read_tokens(docs.sparkSession, path)
+    return path
