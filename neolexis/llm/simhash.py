@@ -193,8 +193,8 @@ def link_fingerprints(prints: DataFrame, masks: list[list[int]], most: int, word
     return spread.mapInArrow(lambda batches: _link_runs(batches, words, most), "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, most: int = 4, words: int = 1, masks: list[list[int]] | None = None) -> DataFrame:
-    """Per document: id_col, f0.. (long), component_id (smallest id reachable by links of at most `most` differing bits).
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, most: int = 4, words: int = 1, masks: list[list[int]] | None = None, carry: list[str] = ()) -> DataFrame:
+    """Per document: id_col, the columns `carry`, f0.. (long), component_id (smallest id reachable by links of at most `most` differing bits).
 
     Every row of docs gives one row. Null and empty texts have fingerprint zero and are linked like any other.
     Equal fingerprints are one class; a null id takes part, and is a component's id only if it has no other.
@@ -203,7 +203,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark = docs.sparkSession
     scratch = Scratch(spark)
     cols = [f"f{k}" for k in range(words)]
-    rows = scratch.save(fingerprints(docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("body")), ["doc"], "body", shingle, words), "fingerprints")
+    carried = [f"carry{i}" for i in range(len(carry))]
+    named = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("body"), *[F.col(c).alias(n) for c, n in zip(carry, carried)])
+    rows = scratch.save(fingerprints(named, ["doc", *carried], "body", shingle, words), "fingerprints")
     # a class's id is a hash of its fingerprint: for one word the fingerprint itself, which is unique
     class_id = F.col("f0") if words == 1 else F.xxhash64(*cols)
     classes = scratch.save(rows.groupBy(*cols).agg(F.min("doc").alias("least"), F.count("*").alias("copies")).withColumn("id", class_id), "classes")
@@ -213,4 +215,4 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     linked = scratch.save(linked, "labelled")
     smallest = linked.groupBy("component").agg(F.min("least").alias("component_id"))
     of_class = linked.join(smallest, "component").select(*cols, "component_id")
-    return rows.join(of_class, cols).select(F.col("doc").alias(id_col), *cols, "component_id")
+    return rows.join(of_class, cols).select(F.col("doc").alias(id_col), *[F.col(n).alias(c) for c, n in zip(carry, carried)], *cols, "component_id")
