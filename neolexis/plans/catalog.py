@@ -1,9 +1,135 @@
-"""All registered queries of the analytics engine, with their SQL."""
+"""The registered queries over the driver's tables, and their SQL.
 
+Posts are documents joined with orders by id; the clean corpus is the conversations' text. Doubles are rounded
+to 9 digits on both sides, since logarithms and exponentials differ in their last bits between engines.
+"""
 
-def queries():
-    return {}
+from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import replace
 
-def oracle_sql():
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..config import SMALL, TIME, Scope
+from ..functions.text import TOKEN, is_candidate, is_shouted
+from ..operators import candidates as C
+from ..operators import exports as X
+from ..operators import posts as P
+from ..operators import records as R
+from ..sources.readers import words
+from . import sql as Q
+from .engine import Engine
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, orders = table(spark, sf_dir, "documents"), table(spark, sf_dir, "orders")
+    raw = docs.join(orders, docs["doc_id"] == orders["o_orderkey"]).select(
+        F.col("doc_id").alias("id"), F.col("source").alias("subreddit"), F.unix_seconds(F.col("o_orderdate").cast("timestamp")).alias("created_utc"), F.col("text").alias("body"), F.floor("o_totalprice").cast("int").alias("score"),
+    )
+    return P.clean_posts(raw)
+
+
+def engine(spark: SparkSession, sf_dir: str) -> Engine:
+    return Engine(posts(spark, sf_dir), table(spark, sf_dir, "conversations"), SMALL, [words(spark, Q.LEXICON)])
+
+
+def tidy(df: DataFrame) -> DataFrame:
+    """Doubles rounded; times and dates as text, which every engine compares alike."""
+    out = []
+    for name, kind in df.dtypes:
+        c = F.col(f"`{name}`")
+        c = F.round(c, 9) + F.lit(0.0) if kind == "double" else F.date_format(c, "yyyy-MM-dd HH:mm:ss") if kind.startswith("timestamp") else c.cast("string") if kind == "date" else c
+        out.append(c.alias(name))
+    return df.select(*out)
+
+
+def _queries() -> dict[str, tuple[Query, str | None]]:
+    out: dict[str, tuple[Query, str | None]] = {}
+
+    def add(name: str, build: Callable[[Engine], DataFrame], sql: str | None) -> None:
+        out[name] = (lambda spark, d: tidy(build(engine(spark, d))), sql)
+
+    def add_raw(name: str, build: Query, sql: str | None) -> None:
+        out[name] = (lambda spark, d: tidy(build(spark, d)), sql)
+
+    add("token_counts_all_time_global", lambda e: e.stats("all_time", "global").orderBy(F.desc("count_reddit"), "token").limit(50), Q.sql("global", "SELECT entity AS corpus, token, count_reddit, total_tokens, round(p_reddit, 9) AS p_reddit FROM st_all_time ORDER BY count_reddit DESC, token LIMIT 50"))
+    add("clean_posts", lambda e: e.posts, Q.sql("global", "SELECT post_id, subreddit, strftime(ts, '%Y-%m-%d %H:%M:%S') AS timestamp, year, month, CAST(week AS VARCHAR) AS week_start_date, body, score FROM posts"))
+    add("tokens_offsets", lambda e: e.tokens, Q.sql("global", f"SELECT {Q.TOKEN_COLUMNS} FROM tokens"))
+    add("filtered_tokens", lambda e: e.tokens.where(is_candidate(F.col("token"), allow_numbers=False)), Q.sql("global", f"SELECT {Q.TOKEN_COLUMNS} FROM tokens WHERE {Q.CANDIDATE}"))
+    add("shouted_tokens", lambda e: e.tokens.where(is_shouted(F.col("surface"))).groupBy("token").agg(F.count("*").alias("n")), Q.sql("global", "SELECT token, count(*) AS n FROM tokens WHERE surface = upper(surface) AND surface <> lower(surface) GROUP BY token"))
+    add("distinct_token_count", lambda e: X.distinct_tokens(e.tokens), Q.sql("global", "SELECT count(DISTINCT token) AS distinct_tokens FROM tokens"))
+    add("posts_per_week", lambda e: e.posts.groupBy("week_start_date").agg(F.count("*").alias("n")), Q.sql("global", "SELECT CAST(week AS VARCHAR) AS week_start_date, count(*) AS n FROM posts GROUP BY week"))
+    add("clean_stats", lambda e: e.clean, Q.sql("global", "SELECT token, count_clean, total_clean_tokens, round(p_clean, 9) AS p_clean FROM clean"))
+    # the share of posts is set by a test on the id here, so that SQL can follow; sample_tokens hashes the id
+    add("tokens_subset", lambda e: e.tokens.where(F.col("post_id").cast("long") % 10 == 0), Q.sql("global", f"SELECT {Q.TOKEN_COLUMNS} FROM tokens WHERE CAST(post_id AS BIGINT) % 10 = 0"))
+    add("posts_subset", lambda e: P.posts_of(e.posts, e.tokens.where(F.col("post_id").cast("long") % 10 == 0)), Q.sql("global", "SELECT post_id, subreddit, strftime(ts, '%Y-%m-%d %H:%M:%S') AS timestamp, year, month, CAST(week AS VARCHAR) AS week_start_date, body, score FROM posts WHERE post_id IN (SELECT post_id FROM tokens WHERE CAST(post_id AS BIGINT) % 10 = 0)"))
+    add("tokens_sample_hashed", lambda e: P.sample_tokens(e.tokens, 0.1), None)
+    add("posts_sample_weekly", lambda e: P.sample_posts_by_week(e.posts, 200), None)
+    for mode in ("subreddit", "global"):
+        scope, ent = Scope(mode), f"entity AS {Scope(mode).entity}"
+        for grain in ("monthly", "yearly", "all_time"):
+            time = "".join(f"{t}, " for t in TIME[grain])
+            add(f"stats_{grain}_{mode}", lambda e, g=grain, m=mode: e.stats(g, m), Q.sql(mode, f"SELECT {ent}, {time}token, count_reddit, total_tokens, round(p_reddit, 9) AS p_reddit FROM st_{grain}"))
+        add(f"clean_ratio_{mode}", lambda e, m=mode: e.ratio(m), Q.sql(mode, f"SELECT {ent}, {Q.rounded('ratio')} FROM ratio"))
+        for grain in ("monthly", "yearly"):
+            time = "".join(f"{t}, " for t in TIME[grain])
+            add(f"spike_{grain}_{mode}", lambda e, g=grain, m=mode: e.spikes(g, m), Q.sql(mode, f"SELECT {ent}, {time}{Q.rounded('spike')} FROM spike_{grain}"))
+            add(f"candidates_spiking_{grain}_{mode}", lambda e, g=grain, m=mode: e.spiking(g, m), Q.sql(mode, f"SELECT {ent}, {Q.rounded('spiking')} FROM spiking_{grain}"))
+        add(f"candidates_clean_ratio_{mode}", lambda e, m=mode: e.candidates(m), Q.sql(mode, f"SELECT {ent}, {Q.rounded('cand')} FROM cand"))
+        add(f"candidates_combined_{mode}", lambda e, m=mode: e.combined(m), Q.sql(mode, f"SELECT {ent}, {Q.rounded('combined')} FROM combined"))
+        on = "c.token = t.token" + (" AND c.entity = t.subreddit" if mode == "subreddit" else "")
+        found = f"found AS (SELECT t.*, c.* EXCLUDE (entity, token, is_slang_candidate_clean_ratio_spiking_combined) FROM tokens t JOIN combined c ON {on})"
+        tags = f"true AS is_slang_candidate, 'spiking_combined' AS candidate_type, '{mode}' AS candidate_mode"
+        add(f"occurrences_{mode}", lambda e, m=mode: e.occurrences(m), Q.sql(mode, f"SELECT {Q.TOKEN_COLUMNS}, {tags}, {Q.rounded('meta')} FROM found", found))
+        add(f"occurrences_spiking_monthly_{mode}", lambda e, m=mode: C.occurrences(e.tokens, e.spiking("monthly", m), Scope(m), "spiking", "monthly"), Q.sql(mode, f"SELECT {Q.TOKEN_COLUMNS.replace('token', 't.token', 0)}, true AS is_slang_candidate, 'spiking' AS candidate_type, '{mode}' AS candidate_mode, 'monthly' AS spike_time_grain, {Q.rounded('one_meta')} FROM one", f"one AS (SELECT t.*, c.* EXCLUDE (entity, token) FROM tokens t JOIN spiking_monthly c ON {on})"))
+        bert = "post_id, subreddit, strftime(ts, '%Y-%m-%d %H:%M:%S') AS timestamp, token, token_start, token_end, full_text"
+        text = "LEFT JOIN (SELECT post_id, body AS full_text FROM posts) USING (post_id)"
+        add(f"bert_inputs_{mode}", lambda e, m=mode: C.bert_inputs(e.tokens, e.combined(m), e.posts, Scope(m)), Q.sql(mode, f"SELECT {bert}, true AS is_slang_candidate FROM found {text}", found))
+        add(f"slang_scores_{mode}", lambda e, m=mode: e.occurrence_scores(m), Q.sql(mode, f"SELECT {Q.TOKEN_COLUMNS}, {'' if mode == 'subreddit' else 'entity AS corpus, '}{Q.rounded('features')} FROM scored", f"scored AS (SELECT t.*, c.* EXCLUDE (token) FROM tokens t LEFT JOIN features c ON {on})"))
+        keys = "entity AS subreddit, " if mode == "subreddit" else ""
+        ranked = f"SELECT {keys}token, round(CASE WHEN rank <= 100 THEN 0.8 + (1.0 - 0.8) * (1.0 - (rank - 1) / 99.0) ELSE 0.8 * exp(-0.002 * (rank - 100)) END, 9) AS slang_score FROM ranked"
+        add(f"slang_scores_bert_input_{mode}", lambda e, m=mode: e.token_scores(m), Q.sql(mode, ranked))
+        add(f"slang_scores_bert_input_{mode}_no_rank", lambda e, m=mode: e.token_scores(m, replace(SMALL, rank_top_k=0)), Q.sql(mode, f"SELECT {keys}token, round(power, 9) AS slang_score FROM powers"))
+        add(f"plotting_rows_{mode}", lambda e, m=mode: X.plotting_rows(e.combined(m), {g: e.stats(g, m) for g in ("monthly", "yearly")}, {g: e.spikes(g, m) for g in ("monthly", "yearly")}, Scope(m)), Q.sql(mode, Q.plotting(ent)))
+        assert scope.mode == mode
+    # from here the global scope, unless a community matters
+    found = "found AS (SELECT t.* FROM tokens t JOIN combined c ON c.token = t.token)"
+    place = "post_id, token, token_start, token_end"
+    marked = f"marked AS (SELECT t.*, f.token IS NOT NULL AS is_slang_candidate FROM tokens t LEFT JOIN (SELECT DISTINCT {place} FROM found) f USING ({place}))"
+    add("occurrences_full_text", lambda e: e.occurrences("global", full_text=True).select("post_id", "token", "token_start", "token_end", "full_text"), Q.sql("global", f"SELECT {place}, body AS full_text FROM found JOIN posts USING (post_id)", found))
+    add("bert_inputs_all_tokens", lambda e: C.all_bert_inputs(e.tokens, e.occurrences("global"), e.posts), Q.sql("global", f"SELECT post_id, subreddit, strftime(ts, '%Y-%m-%d %H:%M:%S') AS timestamp, token, token_start, token_end, full_text, is_slang_candidate FROM marked {text}", found, marked))
+    add("bert_inputs_scored", lambda e: C.scored_bert_inputs(e.tokens, e.token_scores("global", replace(SMALL, rank_top_k=0)), e.posts, Scope("global")), Q.sql("global", f"SELECT post_id, subreddit, strftime(ts, '%Y-%m-%d %H:%M:%S') AS timestamp, t.token, token_start, token_end, full_text, round(coalesce(power, 0.0), 9) AS slang_score FROM tokens t LEFT JOIN powers p ON p.token = t.token {text}"))
+    add("non_candidates_anti", lambda e: C.non_candidates(e.tokens, e.occurrences("global")), Q.sql("global", f"SELECT {Q.TOKEN_COLUMNS} FROM marked WHERE NOT is_slang_candidate", found, marked))
+    add("label_counts", lambda e: C.label_counts(e.tokens, e.occurrences("global")), Q.sql("global", "SELECT b.is_slang_candidate, count(m.token) AS occurrences FROM (VALUES (true), (false)) b(is_slang_candidate) LEFT JOIN marked m USING (is_slang_candidate) GROUP BY 1", found, marked))
+    add("spike_profile_counts", lambda e: X.profile_counts(e.combined("subreddit")), Q.sql("subreddit", "SELECT spike_profile, count(*) AS n FROM combined GROUP BY 1"))
+    add("candidate_tokens_export", lambda e: X.candidate_tokens(e.combined("subreddit")), Q.sql("subreddit", "SELECT DISTINCT token FROM combined"))
+    add("score_histogram", lambda e: X.score_histogram(e.token_scores("subreddit", replace(SMALL, rank_top_k=0))), Q.sql("subreddit", "SELECT CAST(least(floor(power * 50), 49) AS INTEGER) AS bin, count(*) AS n FROM powers GROUP BY 1"))
+    add("lookup_scores", lambda e: X.lookup(e.token_scores("subreddit"), ["the", "ndly", "dieanan", "ererthing", "that"]), Q.sql("subreddit", ranked.replace("SELECT token", "SELECT entity AS subreddit, token") + " WHERE token IN ('the', 'ndly', 'dieanan', 'ererthing', 'that')"))
+    add("lookup_missing", lambda e: X.missing_tokens(e.token_scores("subreddit"), words(e.posts.sparkSession, ["ndly", "no such token"])), Q.sql("subreddit", "SELECT token FROM (VALUES ('ndly'), ('no such token')) w(token) WHERE token NOT IN (SELECT token FROM ranked)"))
+    add("top_tokens_monthly_spike", lambda e: X.top_tokens(e.combined("subreddit"), "max_spike_score_monthly"), Q.sql("subreddit", "SELECT token, round(max(max_spike_score_monthly), 9) AS max_spike_score_monthly FROM combined GROUP BY 1 ORDER BY max(max_spike_score_monthly) DESC NULLS LAST, token LIMIT 10"))
+    add("preview_stats", lambda e: X.preview(e.stats("monthly", "global"), X.PREVIEWS["stats"]), Q.sql("global", "SELECT entity AS corpus, year, month, token, count_reddit, total_tokens, round(p_reddit, 9) AS p_reddit FROM st_monthly ORDER BY count_reddit DESC, token, year, month LIMIT 20"))
+    add("preview_clean_stats", lambda e: X.preview(e.clean, X.PREVIEWS["clean_stats"]), Q.sql("global", "SELECT token, count_clean, total_clean_tokens, round(p_clean, 9) AS p_clean FROM clean ORDER BY count_clean DESC, token LIMIT 20"))
+    add("preview_tokens", lambda e: X.preview(e.tokens, X.PREVIEWS["tokens"]), Q.sql("global", f"SELECT {Q.TOKEN_COLUMNS} FROM tokens ORDER BY post_id, token_start LIMIT 20"))
+    add_raw("json_extract", lambda s, d: R.extract_links(table(s, d, "events").withColumn("j", F.concat(F.lit('{"a":{"Page_URL":"http://x/'), "event_type", F.lit('","url":" "},"Hashtags":[{"text":"'), "event_type", F.lit('","url":"no"},{}],"b":['), "props", F.lit("]}"))), "j", ["event_id"]).select("event_id", F.concat_ws(",", "extracted_urls").alias("urls"), F.concat_ws(",", "extracted_hashtags").alias("tags")), "SELECT event_id, 'http://x/' || event_type AS urls, event_type AS tags FROM events")
+    add_raw("json_merge", lambda s, d: R.merge_links(R.extract_links(table(s, d, "events").withColumn("j", F.to_json(F.struct(F.col("event_type").alias("source_url"), F.array(F.struct(F.lit("t").alias("text"))).alias("hashtags")))), "j", ["event_id"])), "SELECT DISTINCT 'extracted_urls' AS kind, event_type AS value FROM events WHERE trim(event_type) <> '' UNION SELECT 'extracted_hashtags', 't' FROM events")
+    add_raw("first_seen_dedupe", lambda s, d: R.first_names(table(s, d, "documents").select(F.col("doc_id").alias("line"), F.concat(F.lit("reddit/subreddits25/"), F.upper("source"), F.when(F.col("doc_id") % 2 == 0, "_comments.zst").otherwise("_submissions.zst")).alias("path"))), "SELECT lower(source) AS name, min(doc_id) AS line FROM documents GROUP BY 1")
+    return out
+
+
+def queries() -> dict[str, Query]:
+    return {k: q for k, (q, _) in _queries().items()}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {k: s for k, (_, s) in _queries().items() if s is not None}
+
+
+__all__ = ["TOKEN", "engine", "oracle_sql", "posts", "queries", "tidy"]
