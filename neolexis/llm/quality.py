@@ -182,7 +182,7 @@ def _strength(sites: DataFrame, centre: str) -> Column:
     return F.greatest(level / between - 1, F.lit(2.0))
 
 
-def classify(docs: DataFrame, labels: DataFrame, keep: list[str], host_col: str = "source", path_col: str = "lang", id_col: str = "doc_id", text_col: str = "text", reject_at: float = 0.5, site_weight: float = 0.25) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, keep: list[str], host_col: str = "source", path_col: str = "lang", id_col: str = "doc_id", text_col: str = "text", reject_at: float = 0.6, site_weight: float = 0.25) -> DataFrame:
     """Per row of docs: `keep`, p_toxic, p_poor (document evidence), host_rate, path_rate (posterior rates of
     faults), p_fault (posterior) and kept (boolean).
 
