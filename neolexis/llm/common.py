@@ -56,6 +56,9 @@ class Scratch:
     def save(self, df: DataFrame, name: str) -> DataFrame:
         path = scratch_path(self.spark, name)
         df.write.parquet(path)
+        # what the written plan shuffled is of no use any more, but Spark deletes shuffle files only when the
+        # driver's garbage collector finds the plan unreachable
+        self.spark._jvm.System.gc()
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(out)] = path.rsplit("/", 1)[0]
         return out
