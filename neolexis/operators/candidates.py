@@ -155,10 +155,11 @@ def token_scores(ratio: DataFrame, monthly: DataFrame, yearly: DataFrame, params
     reliability = F.least(F.lit(1.0), F.log1p("count_reddit_all_time") / math.log(params.reliability_log))
     w = params.spike_boost_weight
     raw = reliability * F.col("clean_component") * ((1.0 - w) + w * boost)
-    # rounded, so that scores equal but for the last bits tie, and ranks don't depend on the platform
-    rows = rows.select(*scope.join, F.round(F.pow(raw, F.lit(params.power_transform)), 12).alias("power"))
+    # ranked by rounded scores: those equal but for the last bits tie, and ranks don't depend on the platform
+    score = F.pow(raw, F.lit(params.power_transform))
     if not params.rank_top_k:
-        return rows.select(*scope.join, F.col("power").alias("slang_score"))
+        return rows.select(*scope.join, score.alias("slang_score"))
+    rows = rows.select(*scope.join, F.round(score, 12).alias("power"))
     ranked = global_rank(rows, [F.desc("power"), *scope.join], "rank")
     k, floor = params.rank_top_k, params.rank_top_k_floor
     top = floor + (1.0 - floor) * (1.0 - (F.col("rank") - 1) / float(max(k - 1, 1)))

@@ -29,7 +29,9 @@ def token_stats(base: DataFrame, grain: str, scope: Scope) -> DataFrame:
     rows = base if scope.mode == "subreddit" else base.withColumn("corpus", F.lit(CORPUS))
     bucket = [scope.entity, *TIME[grain]]
     totals = rows.groupBy(*bucket).agg(F.sum("n").alias("total_tokens"))
-    counts = rows.where("candidate").groupBy(*bucket, "token").agg(F.sum("n").alias("count_reddit"))
+    # a filter before the sum would be pushed below the base's shuffle, and make it another one for every use;
+    # like this all grains and both sides of the join reuse a single shuffle
+    counts = rows.groupBy(*bucket, "token").agg(F.sum(F.when(F.col("candidate"), F.col("n"))).alias("count_reddit")).where("count_reddit is not null")
     return counts.join(totals, bucket).select(*bucket, "token", "count_reddit", "total_tokens", (F.col("count_reddit") / F.col("total_tokens")).alias("p_reddit"))
 
 

@@ -97,7 +97,7 @@ def _queries() -> dict[str, tuple[Query, str | None]]:
         keys = "entity AS subreddit, " if mode == "subreddit" else ""
         ranked = f"SELECT {keys}token, round(CASE WHEN rank <= 100 THEN 0.8 + (1.0 - 0.8) * (1.0 - (rank - 1) / 99.0) ELSE 0.8 * exp(-0.002 * (rank - 100)) END, 9) AS slang_score FROM ranked"
         add(f"slang_scores_bert_input_{mode}", lambda e, m=mode: e.token_scores(m), Q.sql(mode, ranked))
-        add(f"slang_scores_bert_input_{mode}_no_rank", lambda e, m=mode: e.token_scores(m, replace(SMALL, rank_top_k=0)), Q.sql(mode, f"SELECT {keys}token, round(power, 9) AS slang_score FROM powers"))
+        add(f"slang_scores_bert_input_{mode}_no_rank", lambda e, m=mode: e.token_scores(m, replace(SMALL, rank_top_k=0)), Q.sql(mode, f"SELECT {keys}token, round(raw, 9) AS slang_score FROM raws"))
         add(f"plotting_rows_{mode}", lambda e, m=mode: X.plotting_rows(e.combined(m), {g: e.stats(g, m) for g in ("monthly", "yearly")}, {g: e.spikes(g, m) for g in ("monthly", "yearly")}, Scope(m)), Q.sql(mode, Q.plotting(ent)))
         assert scope.mode == mode
     # from here the global scope, unless a community matters
@@ -106,12 +106,12 @@ def _queries() -> dict[str, tuple[Query, str | None]]:
     marked = f"marked AS (SELECT t.*, f.token IS NOT NULL AS is_slang_candidate FROM tokens t LEFT JOIN (SELECT DISTINCT {place} FROM found) f USING ({place}))"
     add("occurrences_full_text", lambda e: e.occurrences("global", full_text=True).select("post_id", "token", "token_start", "token_end", "full_text"), Q.sql("global", f"SELECT {place}, body AS full_text FROM found JOIN posts USING (post_id)", found))
     add("bert_inputs_all_tokens", lambda e: C.all_bert_inputs(e.tokens, e.occurrences("global"), e.posts), Q.sql("global", f"SELECT post_id, subreddit, strftime(ts, '%Y-%m-%d %H:%M:%S') AS timestamp, token, token_start, token_end, full_text, is_slang_candidate FROM marked {text}", found, marked))
-    add("bert_inputs_scored", lambda e: C.scored_bert_inputs(e.tokens, e.token_scores("global", replace(SMALL, rank_top_k=0)), e.posts, Scope("global")), Q.sql("global", f"SELECT post_id, subreddit, strftime(ts, '%Y-%m-%d %H:%M:%S') AS timestamp, t.token, token_start, token_end, full_text, round(coalesce(power, 0.0), 9) AS slang_score FROM tokens t LEFT JOIN powers p ON p.token = t.token {text}"))
+    add("bert_inputs_scored", lambda e: C.scored_bert_inputs(e.tokens, e.token_scores("global", replace(SMALL, rank_top_k=0)), e.posts, Scope("global")), Q.sql("global", f"SELECT post_id, subreddit, strftime(ts, '%Y-%m-%d %H:%M:%S') AS timestamp, t.token, token_start, token_end, full_text, round(coalesce(raw, 0.0), 9) AS slang_score FROM tokens t LEFT JOIN raws p ON p.token = t.token {text}"))
     add("non_candidates_anti", lambda e: C.non_candidates(e.tokens, e.occurrences("global")), Q.sql("global", f"SELECT {Q.TOKEN_COLUMNS} FROM marked WHERE NOT is_slang_candidate", found, marked))
     add("label_counts", lambda e: C.label_counts(e.tokens, e.occurrences("global")), Q.sql("global", "SELECT b.is_slang_candidate, count(m.token) AS occurrences FROM (VALUES (true), (false)) b(is_slang_candidate) LEFT JOIN marked m USING (is_slang_candidate) GROUP BY 1", found, marked))
     add("spike_profile_counts", lambda e: X.profile_counts(e.combined("subreddit")), Q.sql("subreddit", "SELECT spike_profile, count(*) AS n FROM combined GROUP BY 1"))
     add("candidate_tokens_export", lambda e: X.candidate_tokens(e.combined("subreddit")), Q.sql("subreddit", "SELECT DISTINCT token FROM combined"))
-    add("score_histogram", lambda e: X.score_histogram(e.token_scores("subreddit", replace(SMALL, rank_top_k=0))), Q.sql("subreddit", "SELECT CAST(least(floor(power * 50), 49) AS INTEGER) AS bin, count(*) AS n FROM powers GROUP BY 1"))
+    add("score_histogram", lambda e: X.score_histogram(e.token_scores("subreddit", replace(SMALL, rank_top_k=0))), Q.sql("subreddit", "SELECT CAST(least(floor(raw * 50), 49) AS INTEGER) AS bin, count(*) AS n FROM raws GROUP BY 1"))
     add("lookup_scores", lambda e: X.lookup(e.token_scores("subreddit"), ["the", "ndly", "dieanan", "ererthing", "that"]), Q.sql("subreddit", ranked.replace("SELECT token", "SELECT entity AS subreddit, token") + " WHERE token IN ('the', 'ndly', 'dieanan', 'ererthing', 'that')"))
     add("lookup_missing", lambda e: X.missing_tokens(e.token_scores("subreddit"), words(e.posts.sparkSession, ["ndly", "no such token"])), Q.sql("subreddit", "SELECT token FROM (VALUES ('ndly'), ('no such token')) w(token) WHERE token NOT IN (SELECT token FROM ranked)"))
     add("top_tokens_monthly_spike", lambda e: X.top_tokens(e.combined("subreddit"), "max_spike_score_monthly"), Q.sql("subreddit", "SELECT token, round(max(max_spike_score_monthly), 9) AS max_spike_score_monthly FROM combined GROUP BY 1 ORDER BY max(max_spike_score_monthly) DESC NULLS LAST, token LIMIT 10"))

@@ -89,7 +89,8 @@ def _ctes(mode: str) -> list[str]:
         + f"CASE WHEN max_spike_score_monthly IS NOT NULL AND max_spike_score_yearly IS NOT NULL THEN 'both' WHEN max_spike_score_monthly IS NOT NULL THEN 'monthly_only' ELSE 'yearly_only' END AS spike_profile, true AS is_slang_candidate_clean_ratio_spiking_combined FROM {side('monthly')} FULL JOIN {side('yearly')} USING (entity, token))",
         f"parts AS (SELECT entity, token, count_reddit AS count_reddit_all_time, total_tokens AS total_tokens_all_time, p_reddit AS p_reddit_all_time, count_clean, total_clean_tokens, p_clean, clean_ratio_score, max_spike_score_monthly, num_spike_periods_monthly, max_spike_score_yearly, num_spike_periods_yearly, max_spike_score_monthly IS NOT NULL AS has_monthly_spike, max_spike_score_yearly IS NOT NULL AS has_yearly_spike, {components} FROM ratio LEFT JOIN all_monthly USING (entity, token) LEFT JOIN all_yearly USING (entity, token))",
         "features AS (SELECT *, greatest(monthly_component, yearly_component) AS spike_boost, least(1.0, ln(1 + count_reddit_all_time) / ln(101::DOUBLE)) AS reliability, least(1.0, ln(1 + count_reddit_all_time) / ln(101::DOUBLE)) * clean_component * (0.4 + 0.6 * greatest(monthly_component, yearly_component)) AS slang_score FROM parts)",
-        f"powers AS (SELECT entity, token, round(pow(least(1.0, ln(1 + count_reddit_all_time) / ln({p.reliability_log}::DOUBLE)) * clean_component * ((1.0 - {p.spike_boost_weight}) + {p.spike_boost_weight} * greatest(monthly_component, yearly_component)), {p.power_transform}), 12) AS power FROM parts WHERE token NOT IN ({_WORDS}) AND NOT {_FIVE} AND NOT {_LAUGHTER})",
+        f"raws AS (SELECT entity, token, pow(least(1.0, ln(1 + count_reddit_all_time) / ln({p.reliability_log}::DOUBLE)) * clean_component * ((1.0 - {p.spike_boost_weight}) + {p.spike_boost_weight} * greatest(monthly_component, yearly_component)), {p.power_transform}) AS raw FROM parts WHERE token NOT IN ({_WORDS}) AND NOT {_FIVE} AND NOT {_LAUGHTER})",
+        "powers AS (SELECT *, round(raw, 12) AS power FROM raws)",
         f"ranked AS (SELECT *, row_number() OVER (ORDER BY {order}) AS rank FROM powers)",
     ]
 
