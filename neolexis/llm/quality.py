@@ -131,11 +131,14 @@ def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch, id_col: str = "doc
         have, free = F.col(f"all_{fault}").cast("double"), (F.col("all_n") - F.col(f"all_{fault}")).cast("double")
         with_, without = F.col(fault).cast("double"), (F.col("n") - F.col(fault)).cast("double")
         ratio = F.log((with_ + 0.5) / (have + 1.0)) - F.log((without + 0.5) / (free + 1.0))
-        # a word counts if its documents have the fault far more often than chance allows; with thousands of words
-        # 4.5 standard errors are no accident. Its weight is a lower bound of the ratio.
+        # a word counts if its documents have the fault far more often than the stratum's do: by the likelihood-ratio
+        # statistic, of which 25 (five deviations) is no accident even among many words. Its weight is a lower
+        # bound of the ratio.
         error = F.sqrt(1.0 / (with_ + 0.5) + 1.0 / (without + 0.5))
-        some = counted.where(with_ >= 4).select("stratum", "word", (ratio - 1.5 * error).alias("ratio"), (ratio / error).alias("sure"))
-        some = some.where("ratio > 0.7 and sure > 4.5").orderBy(F.desc("sure"), "stratum", "word").limit(LEXICON)
+        share = have / F.col("all_n")
+        odd = 2.0 * (with_ * F.log(with_ / (F.col("n") * share)) + F.when(without > 0, without * F.log(without / (F.col("n") * (1.0 - share)))).otherwise(0.0))
+        some = counted.where(with_ >= 4).select("stratum", "word", (ratio - 1.5 * error).alias("ratio"), odd.alias("odd"))
+        some = some.where("ratio > 0.7 and odd > 25").orderBy(F.desc("odd"), "stratum", "word").limit(LEXICON)
         lexicons.append({})
         for r in some.collect():
             lexicons[-1].setdefault(r.stratum, {})[r.word] = float(r.ratio)
@@ -150,7 +153,8 @@ def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch, id_col: str = "doc
             x = [model.features(t, k) for t, k in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), batch.column(2), batch.column(3)], names=["x", "toxic", "poor"])
 
-    rows = sample.select("text", "stratum", "toxic", "poor").mapInArrow(measure, "x array<double>, toxic int, poor int").orderBy("x").collect()
+    rows = sample.select("text", "stratum", "toxic", "poor").mapInArrow(measure, "x array<double>, toxic int, poor int").collect()
+    rows.sort(key=lambda r: (r.x, r.toxic, r.poor))  # sums in the same order in every run
     x = np.array([r.x for r in rows])
     mean, scale = x.mean(0), np.maximum(x.std(0), 1e-3)
     z = np.clip((x - mean) / scale, -8, 8)
