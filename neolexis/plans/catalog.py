@@ -51,6 +51,13 @@ def tidy(df: DataFrame) -> DataFrame:
     return df.select(*out)
 
 
+def brief(df: DataFrame) -> DataFrame:
+    """A row for each token with the whole text around it is too much to bring to one place: the text's length and
+    what it has at the token's offsets say as much."""
+    inside = F.substring("full_text", F.col("token_start") + 1, F.col("token_end") - F.col("token_start"))
+    return df.withColumns({"text_length": F.length("full_text"), "in_text": inside}).drop("full_text")
+
+
 def _queries() -> dict[str, tuple[Query, str | None]]:
     out: dict[str, tuple[Query, str | None]] = {}
 
@@ -104,9 +111,9 @@ def _queries() -> dict[str, tuple[Query, str | None]]:
     found = "found AS (SELECT t.* FROM tokens t JOIN combined c ON c.token = t.token)"
     place = "post_id, token, token_start, token_end"
     marked = f"marked AS (SELECT t.*, f.token IS NOT NULL AS is_slang_candidate FROM tokens t LEFT JOIN (SELECT DISTINCT {place} FROM found) f USING ({place}))"
-    add("occurrences_full_text", lambda e: e.occurrences("global", full_text=True).select("post_id", "token", "token_start", "token_end", "full_text"), Q.sql("global", f"SELECT {place}, body AS full_text FROM found JOIN posts USING (post_id)", found))
-    add("bert_inputs_all_tokens", lambda e: C.all_bert_inputs(e.tokens, e.occurrences("global"), e.posts), Q.sql("global", f"SELECT post_id, subreddit, strftime(ts, '%Y-%m-%d %H:%M:%S') AS timestamp, token, token_start, token_end, full_text, is_slang_candidate FROM marked {text}", found, marked))
-    add("bert_inputs_scored", lambda e: C.scored_bert_inputs(e.tokens, e.token_scores("global", replace(SMALL, rank_top_k=0)), e.posts, Scope("global")), Q.sql("global", f"SELECT post_id, subreddit, strftime(ts, '%Y-%m-%d %H:%M:%S') AS timestamp, t.token, token_start, token_end, full_text, round(coalesce(raw, 0.0), 9) AS slang_score FROM tokens t LEFT JOIN raws p ON p.token = t.token {text}"))
+    add("occurrences_full_text", lambda e: e.occurrences("global", full_text=True).select("post_id", "token", "token_start", "token_end", F.md5("full_text").alias("text_md5")), Q.sql("global", f"SELECT {place}, md5(body) AS text_md5 FROM found JOIN posts USING (post_id)", found))
+    add("bert_inputs_all_tokens", lambda e: brief(C.all_bert_inputs(e.tokens, e.occurrences("global"), e.posts)), Q.sql("global", f"SELECT post_id, subreddit, strftime(ts, '%Y-%m-%d %H:%M:%S') AS timestamp, token, token_start, token_end, length(full_text) AS text_length, substr(full_text, token_start + 1, token_end - token_start) AS in_text, is_slang_candidate FROM marked {text}", found, marked))
+    add("bert_inputs_scored", lambda e: brief(C.scored_bert_inputs(e.tokens, e.token_scores("global", replace(SMALL, rank_top_k=0)), e.posts, Scope("global"))), Q.sql("global", f"SELECT post_id, subreddit, strftime(ts, '%Y-%m-%d %H:%M:%S') AS timestamp, t.token, token_start, token_end, length(full_text) AS text_length, substr(full_text, token_start + 1, token_end - token_start) AS in_text, round(coalesce(raw, 0.0), 9) AS slang_score FROM tokens t LEFT JOIN raws p ON p.token = t.token {text}"))
     add("non_candidates_anti", lambda e: C.non_candidates(e.tokens, e.occurrences("global")), Q.sql("global", f"SELECT {Q.TOKEN_COLUMNS} FROM marked WHERE NOT is_slang_candidate", found, marked))
     add("label_counts", lambda e: C.label_counts(e.tokens, e.occurrences("global")), Q.sql("global", "SELECT b.is_slang_candidate, count(m.token) AS occurrences FROM (VALUES (true), (false)) b(is_slang_candidate) LEFT JOIN marked m USING (is_slang_candidate) GROUP BY 1", found, marked))
     add("spike_profile_counts", lambda e: X.profile_counts(e.combined("subreddit")), Q.sql("subreddit", "SELECT spike_profile, count(*) AS n FROM combined GROUP BY 1"))
