@@ -149,13 +149,15 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     kind = keyed.schema["doc"].dataType.simpleString()
     seeded = scratch.save(keyed.select("doc", "print", "body").mapInArrow(seeds, f"doc {kind}, print bigint, place int, anchor bigint, reach bigint"), "seeds")
-    repeated = seeded.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
+    # written first: Spark splits the tasks of a hot key only in joins whose sides come straight from a shuffle
+    repeated = scratch.save(seeded.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"), "anchors")
     live = scratch.save(seeded.join(repeated, "anchor"), "live")
     scratch.drop(seeded)
     # per anchor and reach: how often, and any one occurrence
     counted = live.groupBy("anchor", "reach").agg(F.count("*").alias("n"), *(F.first(c).alias(c) for c in ("doc", "print", "place")))
     reaches = scratch.save(counted, "reaches")
     several = reaches.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1").select("anchor")
+    several = scratch.save(several, "several")
     # every window around an occurrence of a repeated reach repeats
     whole = live.join(reaches.where("n > 1").select("anchor", "reach"), ["anchor", "reach"]).select("doc", "print", "place", F.lit(True).alias("whole"))
     # where an anchor has several reaches, one occurrence of each says which windows they share
@@ -184,9 +186,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     windows = scratch.save(probed, "windows")
     # a window known from a repeated reach counts as two places already
     many = windows.groupBy("first", "second").agg(F.count("*").alias("n"), F.bool_or("known").alias("any")).where("n > 1 or any").select("first", "second")
+    many = scratch.save(many, "many")
     single = windows.where("not known").join(many, ["first", "second"]).select("doc", "print", F.col("start").alias("place"), F.lit(False).alias("whole"))
     marks = scratch.save(whole.unionByName(single).groupBy("doc", "print").agg(F.collect_set(F.struct("place", "whole")).alias("marks")), "marks")
-    for done_with in (live, reaches, windows):
+    for done_with in (repeated, several, many, live, reaches, windows):
         scratch.drop(done_with)
     marks = marks.select(F.col("doc").alias("_d"), F.col("print").alias("_p"), "marks")
     final = keyed.join(marks, keyed["doc"].eqNullSafe(marks["_d"]) & keyed["print"].eqNullSafe(marks["_p"]), "left").select("doc", "body", "marks")
