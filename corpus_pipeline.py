@@ -15,11 +15,12 @@ from neolexis.llm.mixing import mix, training_order
 from neolexis.llm.packing import pack
 from neolexis.llm.pii import redact
 from neolexis.llm.quality import classify
-from neolexis.llm.simhash import near_duplicates, sampled_masks
+from neolexis.llm.simhash import similar_documents
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-#: Five-word shingles of similarity 0.8 differ in 15.2 % of fingerprint bits: 39 of 256, with a deviation of 6.
-BITS_APART = 43
+#: Fingerprints of shingle sets of similarity 0.8 differ in 39 of 256 bits (in 48 at most, for sets of 4 and 5 members),
+#: with a deviation of 6; pairs further apart than this are not compared.
+BITS_APART = 80
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,12 +32,13 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the document with the smallest id.
 
-    Fingerprints of 256 bits over five-word shingles; 48 tables of 16 bits propose pairs. At a similarity of 0.8
-    a table proposes a pair with probability 0.848 ** 16 = 0.07, all tables with 0.97. Rows equal in id and text
-    are one document. Documents without id are compared by text alone among themselves.
+    Near copies have sets of five-word shingles of Jaccard similarity 0.8 or more, compared exactly. Rows equal
+    in id and text are one document. Documents without id are compared by text alone among themselves.
     """
     keyed = docs.select(*COLUMNS, F.xxhash64("text").alias("_print"))
-    found = near_duplicates(keyed, shingle=5, most=BITS_APART, words=4, masks=sampled_masks(48, 16, 4), carry=["_print"])
+    found = Scratch(spark).save(similar_documents(keyed, "doc_id", "_print", most=BITS_APART), "similar")
+    least = found.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    found = found.join(least, "component")
     stay = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id"), F.col("_print").alias("_p")).distinct()
     rows = keyed.join(stay, keyed["doc_id"].eqNullSafe(stay["_id"]) & (keyed["_print"] == stay["_p"]))
     once = Window.partitionBy("doc_id", "_print").orderBy("source", "lang", "n_chars")

@@ -48,19 +48,28 @@ def _mix(x: np.ndarray, k: int) -> np.ndarray:
 
 def text_fingerprint(text: str | None, shingle: int, words: int = 1) -> list[int]:
     """Signed 64-bit fingerprints of a text; all zero if it has no words."""
+    return _majority(shingle_hashes(text, shingle), words)
+
+
+def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
+    """64-bit hashes of a text's shingles, in order; of a shorter text the hash of all its words, of one without words none."""
     import xxhash
 
     parts = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: A-Z only, ASCII white space only
     if not parts:
-        return [0] * words
+        return np.array([], np.uint64)
     if len(parts) <= shingle:
-        hashes = np.array([xxhash.xxh64_intdigest(b" ".join(parts), 42)], np.uint64)
-    else:
-        joined = b" ".join(parts)
-        lengths = np.fromiter(map(len, parts), np.int64, len(parts))
-        ends = np.cumsum(lengths + 1) - 1
-        digest = xxhash.xxh64_intdigest
-        hashes = np.array([digest(joined[a:b], 42) for a, b in zip((ends - lengths)[: 1 - shingle].tolist(), ends[shingle - 1 :].tolist())], np.uint64)
+        return np.array([xxhash.xxh64_intdigest(b" ".join(parts), 42)], np.uint64)
+    joined = b" ".join(parts)
+    lengths = np.fromiter(map(len, parts), np.int64, len(parts))
+    ends = np.cumsum(lengths + 1) - 1
+    digest = xxhash.xxh64_intdigest
+    return np.array([digest(joined[a:b], 42) for a, b in zip((ends - lengths)[: 1 - shingle].tolist(), ends[shingle - 1 :].tolist())], np.uint64)
+
+
+def _majority(hashes: np.ndarray, words: int) -> list[int]:
+    if not len(hashes):
+        return [0] * words
     out = []
     for k in range(words):
         mixed, ones = _mix(hashes, k), np.zeros(64, np.int64)
@@ -170,6 +179,18 @@ def _link_runs(batches: Iterator[pa.RecordBatch], words: int, most: int) -> Iter
         yield from link(rest)
 
 
+def _units(sized: DataFrame, cols: list[str], block: int) -> DataFrame:
+    """From key, n (its rows), id and cols: unit, id, cols, sorted by unit; any two rows of a key meet in a unit of about `block` rows."""
+    chunks = F.when(F.col("n") <= block, F.lit(1)).otherwise(F.ceil(F.col("n") / (block // 2)))
+    own = F.pmod(F.xxhash64("id", F.lit("chunk")), F.col("chunks"))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))
+    units = (
+        sized.withColumn("chunks", chunks.cast("long")).withColumn("own", own).select("id", *cols, "key", "chunks", "own", other.alias("other"))
+        .select(F.when(F.col("chunks") == 1, F.col("key")).otherwise(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))).alias("unit"), "id", *cols)
+    )
+    return units.repartition("unit").sortWithinPartitions("unit")
+
+
 def link_fingerprints(prints: DataFrame, masks: list[list[int]], most: int, words: int, scratch: Scratch, refine: list[list[int]] | None = None) -> DataFrame:
     """Links a, b (ids) with the components of all pairs that share a masked fingerprint and differ in at most `most` bits.
 
@@ -180,17 +201,7 @@ def link_fingerprints(prints: DataFrame, masks: list[list[int]], most: int, word
     cols = [f"f{k}" for k in range(words)]
     keyed = prints.select("id", *cols, F.explode(F.array(*[F.xxhash64(F.lit(t), *[F.col(c).bitwiseAND(F.lit(_signed(m))) for c, m in zip(cols, mask)]) for t, mask in enumerate(masks)])).alias("key"))
     counts = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    sized = keyed.join(counts, "key")
-    half = BLOCK // 2
-    chunks = F.when(F.col("n") <= BLOCK, F.lit(1)).otherwise(F.ceil(F.col("n") / half))
-    own = F.pmod(F.xxhash64("id", F.lit("chunk")), F.col("chunks"))
-    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))
-    units = (
-        sized.withColumn("chunks", chunks.cast("long")).withColumn("own", own).select("id", *cols, "key", "chunks", "own", other.alias("other"))
-        .select(F.when(F.col("chunks") == 1, F.col("key")).otherwise(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))).alias("unit"), "id", *cols)
-    )
-    spread = units.repartition("unit").sortWithinPartitions("unit")
-    return spread.mapInArrow(lambda batches: _link_runs(batches, words, most), "a long, b long").distinct()
+    return _units(keyed.join(counts, "key"), cols, BLOCK).mapInArrow(lambda batches: _link_runs(batches, words, most), "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, most: int = 4, words: int = 1, masks: list[list[int]] | None = None, carry: list[str] = ()) -> DataFrame:
@@ -216,3 +227,115 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     smallest = linked.groupBy("component").agg(F.min("least").alias("component_id"))
     of_class = linked.join(smallest, "component").select(*cols, "component_id")
     return rows.join(of_class, cols).select(F.col("doc").alias(id_col), *[F.col(n).alias(c) for c, n in zip(carry, carried)], *cols, "component_id")
+
+
+#: Shingle sets of one side of an exact comparison in one task.
+SETS = 256
+
+
+def prefix(hashes: np.ndarray) -> np.ndarray:
+    """Of sorted distinct hashes the smallest that two sets of similarity 0.8 can't both miss.
+
+    The sets share at least 0.8 of either's members, so each misses at most a fifth of its own: the smallest
+    shared one is among the first n - ceil(0.8 n) + 1 of both.
+    """
+    n = len(hashes)
+    return hashes[: n - (4 * n + 4) // 5 + 1] if n else hashes
+
+
+def alike(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of sets (distinct hashes each) of Jaccard similarity 0.8 or more, in whole numbers."""
+    n, sizes = len(sets), np.array([len(x) for x in sets], np.int64)
+    _, code, held = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(n), sizes)[held[code] > 1]
+    code = np.unique(code[held[code] > 1], return_inverse=True)[1]
+    order = np.argsort(code, kind="stable")
+    row, code = row[order], code[order]
+    shared = np.zeros((n, n), np.float32)  # counts below 2 ** 24 are exact
+    for at in range(0, int(code[-1]) + 1 if len(code) else 0, 4096):
+        a, b = np.searchsorted(code, [at, at + 4096])
+        x = np.zeros((n, 4096), np.float32)
+        x[row[a:b], code[a:b] - at] = 1
+        shared += x @ x.T
+    both = shared.astype(np.int64)
+    return np.nonzero(np.triu((both > 0) & (5 * both >= 4 * (sizes[:, None] + sizes[None, :] - both)), 1))
+
+
+def _alike_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From rows unit, id, hashes sorted by unit: the links within each unit, as a forest."""
+    unit, ids, sets = None, [], []
+
+    def link() -> Iterator[pa.RecordBatch]:
+        if len(ids) > 1:
+            a, b = _forest(len(ids), *alike(sets))
+            names = np.array(ids, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(names[a]), pa.array(names[b])], names=["a", "b"])
+
+    for batch in batches:
+        hashes = batch.column(2)
+        for k, (u, i) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
+            if u != unit:
+                yield from link()
+                unit, ids, sets = u, [], []
+            ids.append(i)
+            sets.append(hashes[k].values.to_numpy(zero_copy_only=False).copy())
+    yield from link()
+
+
+def similar_documents(docs: DataFrame, id_col: str, print_col: str, text_col: str = "text", shingle: int = 5, most: int = 80, words: int = 4) -> DataFrame:
+    """Per row of docs: id_col, print_col (a hash of the text), set (long, the same for equal shingle sets) and component.
+
+    Components are those of all pairs whose sets of shingles have a Jaccard similarity of 0.8 or more. Sets that
+    share a hash of their prefixes are proposed, which no such pair escapes; fingerprints of the sets that differ
+    in more than `most` bits discard proposals; what remains is compared exactly within the proposals' components.
+    Texts without words are one set. An empty table gives an empty result.
+    """
+    import xxhash
+
+    spark = docs.sparkSession
+    scratch = Scratch(spark)
+    cols = [f"f{k}" for k in range(words)]
+    named = docs.select(F.col(id_col).alias("doc"), F.col(print_col).alias("print"), F.col(text_col).alias("body"))
+    kinds = f"doc {named.schema['doc'].dataType.simpleString()}, print long"
+
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 512):
+                batch = whole.slice(at, 512)
+                sets = [np.unique(shingle_hashes(t, shingle)) for t in batch.column(2).to_pylist()]
+                found = [_majority(x, words) for x in sets]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0), batch.column(1), pa.array([_signed(xxhash.xxh64_intdigest(x.tobytes())) for x in sets], pa.int64()), *(pa.array([f[k] for f in found], pa.int64()) for k in range(words)), pa.array([prefix(x).view(np.int64) for x in sets], pa.list_(pa.int64()))],
+                    names=["doc", "print", "set", *cols, "keys"],
+                )
+
+    rows = scratch.save(named.mapInArrow(sketch, f"{kinds}, set long, {', '.join(f'{c} long' for c in cols)}, keys array<long>"), "sketches")
+    keyed = rows.select(F.col("set").alias("id"), F.explode("keys").alias("key"))
+    # equal sets have equal keys: count each once
+    first = rows.groupBy("set").agg(F.min(F.struct(F.col("doc").isNull().alias("none"), "doc", "print")).alias("first"), *[F.first(c).alias(c) for c in cols])
+    first = scratch.save(first.select(F.col("set").alias("id"), "first.doc", "first.print", *cols), "sets")
+    keyed = scratch.save(keyed.distinct(), "keys")
+    counts = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    shared = scratch.save(keyed.join(counts, "key"), "shared")
+    scratch.drop(keyed)
+    sized = shared.join(first.select("id", *cols), "id")
+    proposed = scratch.save(_units(sized, cols, BLOCK).mapInArrow(lambda batches: _link_runs(batches, words, most), "a long, b long").distinct(), "proposed")
+    scratch.drop(shared)
+    loose = components(spark, proposed, scratch).select(F.col("node").alias("id"), F.col("component").alias("key"))
+    loose = scratch.save(loose.join(first.select("id", "doc", "print"), "id").select("id", "key", F.col("doc").alias("_doc"), F.col("print").alias("_print")), "loose")
+
+    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 512):
+                batch = whole.slice(at, 512)
+                sets = [np.unique(shingle_hashes(t, shingle)).view(np.int64) for t in batch.column(2).to_pylist()]
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sets, pa.list_(pa.int64()))], names=["id", "key", "hashes"])
+
+    texts = named.join(loose, named["doc"].eqNullSafe(loose["_doc"]) & (named["print"] == loose["_print"])).select("id", "key", "body")
+    # of rows equal in id and text one is enough
+    sets = scratch.save(texts.groupBy("id", "key").agg(F.first("body").alias("body")).mapInArrow(hashes, "id long, key long, hashes array<long>"), "hashes")
+    sizes = loose.groupBy("key").agg(F.count("*").alias("n"))
+    links = _units(sets.join(sizes, "key"), ["hashes"], SETS).mapInArrow(_alike_runs, "a long, b long")
+    label = components(spark, links, scratch).select(F.col("node").alias("set"), "component")
+    scratch.drop(sets)
+    return rows.select(F.col("doc").alias(id_col), F.col("print").alias(print_col), "set").join(label, "set", "left").withColumn("component", F.coalesce("component", "set"))

@@ -54,6 +54,44 @@ def test_near_dedup_against_brute_force(spark):
     assert set(range(60)) <= set(want) | {0} and not set(want) & set(range(100, 120))
 
 
+def test_near_dedup_is_decided_by_exact_jaccard(spark):
+    # pairs on both sides of 0.8, far within what fingerprints of 256 bits can tell apart; texts of few shingles too
+    r = random.Random(3)
+    rows, n = [], 0
+    for size in [4, 5, 9, 10, 19, 30, 60, 200] * 12:
+        shared = [f"w{r.randrange(10**9)}" for _ in range(size + 4)]
+        for cut in (r.choice([0, 0.1, 0.2, 0.25, 0.3]), r.choice([0, 0.1, 0.2])):
+            rows.append((n, " ".join(shared[: size + 4 - int(cut * size)] + ["x", f"y{n}"][: r.randrange(3)]), "en", "s", 1))
+            n += 1
+    rows += [(n + k, " ".join(f"v{i}" for i in range(k * 4, k * 4 + 60)), "en", "s", 1) for k in range(12)]  # a chain
+    rows += [(900, "same line here again now " * 9 + "end", "en", "s", 1), (901, "same line here again now " * 40 + "end", "en", "s", 1)]
+    sets = {i: shingles(t) for i, t, *_ in rows}
+    up = {i: i for i in sets}
+
+    def find(k):
+        while up[k] != k:
+            k = up[k]
+        return k
+
+    for a in sets:
+        for b in sets:
+            if a < b and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                x, y = sorted((find(a), find(b)))
+                up[y] = x
+    want = sorted(i for i in sets if find(i) == i)
+    assert 20 < len(want) < len(rows) - 20
+    assert sorted(r.doc_id for r in cp.near_dedup(spark, frame(spark, rows), "").collect()) == want
+
+
+def test_units_of_many_sets_lose_no_pair(spark, monkeypatch):
+    from neolexis.llm import simhash
+
+    monkeypatch.setattr(simhash, "SETS", 4)
+    monkeypatch.setattr(simhash, "BLOCK", 4)
+    rows = [(k, " ".join(f"v{i}" for i in range(k * 4, k * 4 + 60)), "en", "s", 1) for k in range(30)]
+    assert [r.doc_id for r in cp.near_dedup(spark, frame(spark, rows), "").collect()] == [0]
+
+
 def test_personal_data_is_masked(spark):
     rows, _ = documents()
     out = {r.doc_id: r for r in cp.personal_data(spark, frame(spark, rows), "").collect()}
