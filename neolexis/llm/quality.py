@@ -1,8 +1,9 @@
 """Quality classifier: document evidence combined with host and path posteriors by hierarchical empirical Bayes.
 
 1. Document evidence. On a bounded sample of labelled documents, words and stems get log-likelihood ratios for
-   toxic and for poor documents, by language, from grouped counts of the documents that hold them. A document's evidence is those words'
-   ratios with a few measures of its form, through a logistic regression for each of the two faults.
+   toxic and for poor documents, by language, from grouped counts of the documents that hold them. A language's
+   ratios are shrunk towards those of all other languages; where a language has no documents with a word, or is null,
+   the ratio pooled over all languages holds. A document's evidence is those words' ratios with a few measures of its form, through a logistic regression for each of the two faults.
 2. Sites. Over all documents, hosts (here: source) and paths within hosts (here: source and lang) sum the
    evidence by grouped aggregation. A host's rate of faults is a beta-binomial posterior around the global rate,
    a path's one around its host's posterior; the strengths of both priors are estimated from the spread of
@@ -19,15 +20,21 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch
 
-#: Labelled documents that the document classifier is fitted on, those with the smallest hashes of their ids.
+#: Labelled documents about which words are counted in each stratum, and about which the regressions are fitted on: those with small hashes of their ids.
 SAMPLE = 20_000
-#: Words with ratios that are kept for each fault.
+#: Words with ratios that are kept for each fault, pooled and of each stratum.
 LEXICON = 2_000
+#: Deviation of a word's ratio between strata.
+BETWEEN = 1.0
+#: Documents of the common rate of faults that are added to each stratum's.
+PRIOR = 20
+#: Sampled labels up to which they are broadcast to the documents.
+BROADCAST_LABELS = 200_000
 #: Sites up to which their rates are broadcast to the documents.
 BROADCAST_SITES = 50_000
 _WORD = re.compile(r"[^\W\d_]+")
@@ -60,7 +67,7 @@ def shape(text: str) -> list[float]:
 
 @dataclass
 class Classifier:
-    """lexicons: stratum (language) -> word -> log-likelihood ratio, for toxic and for poor; weights: standardised
+    """lexicons: stratum (language) -> word -> log-likelihood ratio, for toxic and for poor, with the pooled ratios at None; weights: standardised
     logistic regressions."""
 
     lexicons: tuple[dict[str, dict[str, float]], dict[str, dict[str, float]]]
@@ -70,7 +77,7 @@ class Classifier:
 
     def features(self, text: str, stratum: str | None) -> list[float]:
         found = words_of(text)
-        toxic, poor = ([x[w] for w in found if w in x] if (x := lexicon.get(stratum or "")) else [] for lexicon in self.lexicons)
+        toxic, poor = ([x[w] for w in found if w in x] if (x := lexicon.get(stratum, lexicon[None])) else [] for lexicon in self.lexicons)
         return [max(toxic, default=0.0), min(sum(toxic), 20.0), max(poor, default=0.0), *shape(text)]
 
     def odds(self, x: np.ndarray) -> np.ndarray:
@@ -94,17 +101,43 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, rounds: int = 40
     return w
 
 
-def _labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, stratum_col: str) -> DataFrame:
-    """Sampled labelled rows with texts: id, text, toxic, poor. At most SAMPLE labels are broadcast."""
+def _labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, stratum_col: str, scratch: Scratch) -> DataFrame:
+    """Sampled labelled rows with texts: id, text, stratum, toxic, poor, fitted (whether the regressions see it).
+
+    A stratum of more than SAMPLE labelled documents gives about SAMPLE of them, a smaller one all.
+    """
     some = labels.where("doc_id is not null and (quality is not null or toxic is not null)").groupBy(F.col("doc_id").alias("_id"))
     some = some.agg(F.max(F.coalesce("toxic", F.lit(0))).alias("toxic"), F.max(F.lit(1) - F.coalesce("quality", F.lit(1))).alias("poor"))
-    some = some.orderBy(F.xxhash64(F.lit(8), "_id"), "_id").limit(SAMPLE)
-    return docs.join(F.broadcast(some), F.col(id_col) == F.col("_id")).select(F.col("_id").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.coalesce(F.col(stratum_col).cast("string"), F.lit("")).alias("stratum"), "toxic", "poor")
+    stratum = F.coalesce(F.col(stratum_col).cast("string"), F.lit(""))
+    pairs = docs.select(F.col(id_col).alias("_key"), stratum.alias("_stratum")).distinct()
+    pairs = scratch.save(pairs.join(some, F.col("_key") == F.col("_id")).drop("_key"), "labels")
+    sizes = pairs.groupBy("_stratum").agg(F.count("*").alias("_n"))
+    whole = pairs.agg(F.count("*").alias("_all"))
+    place = F.shiftrightunsigned(F.xxhash64(F.lit(8), "_id"), 11) / float(1 << 53)
+    chosen = pairs.join(sizes, "_stratum").crossJoin(F.broadcast(whole)).where(place < F.lit(float(SAMPLE)) / F.col("_n"))  # one row
+    chosen = scratch.save(chosen.select("_id", "_stratum", "toxic", "poor", (place < F.lit(float(SAMPLE)) / F.col("_all")).alias("fitted")), "chosen")
+    chosen = F.broadcast(chosen) if chosen.count() <= BROADCAST_LABELS else chosen
+    return docs.join(chosen, (F.col(id_col) == F.col("_id")) & (stratum == F.col("_stratum"))).select(F.col("_id").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.col("_stratum").alias("stratum"), "toxic", "poor", "fitted")
+
+
+def _ratio(n: str, bad: str, due: str, tag: str) -> list[Column]:
+    """Log-likelihood ratio, its error and the likelihood-ratio statistic of n documents, bad with the fault where `due` are expected.
+
+    A word counts if its documents have the fault far more often than expected: by the statistic, of which 25
+    (five deviations) is no accident even among many words. Its weight is a lower bound of the ratio.
+    """
+    n_, with_, due_ = F.expr(n), F.expr(bad), F.expr(due)
+    without, rest = n_ - with_, n_ - due_
+    ratio = F.log((with_ + 0.5) / (due_ + 0.5)) - F.log((without + 0.5) / (rest + 0.5))
+    error = F.sqrt(1.0 / (with_ + 0.5) + 1.0 / (without + 0.5))
+    part = lambda a, b: F.when((a > 0) & (b > 0), a * F.log(a / b)).otherwise(0.0)
+    odd = F.when(with_ > due_, 2.0 * (part(with_, due_) + part(without, rest))).otherwise(0.0)
+    return [ratio.alias(f"ratio{tag}"), error.alias(f"error{tag}"), odd.alias(f"odd{tag}")]
 
 
 def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang") -> Classifier:
     """The document classifier. Without labels it finds no fault anywhere."""
-    sample = scratch.save(_labelled(docs, labels, id_col, text_col, stratum_col), "labelled")
+    sample = scratch.save(_labelled(docs, labels, id_col, text_col, stratum_col, scratch), "labelled")
     totals = sample.agg(F.count("*").alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("toxic"), F.coalesce(F.sum("poor"), F.lit(0)).alias("poor")).first()
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,25 +156,34 @@ def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch, id_col: str = "doc
 
     faults = ("toxic", "poor")
     counted = sample.select("text", "stratum", *faults).mapInArrow(split, "stratum string, word string, n long, toxic long, poor long")
-    counted = counted.groupBy("stratum", "word").agg(*(F.sum(c).alias(c) for c in ("n", *faults))).where("n >= 4")
+    counted = counted.groupBy("stratum", "word").agg(*(F.sum(c).alias(c) for c in ("n", *faults)))
     strata = sample.groupBy("stratum").agg(F.count("*").alias("all_n"), *(F.sum(c).alias(f"all_{c}") for c in faults))
     counted = scratch.save(counted.join(strata, "stratum"), "words")
-    lexicons: list[dict[str, dict[str, float]]] = []
+    lexicons: list[dict[str | None, dict[str, float]]] = []
     for fault in faults:
-        have, free = F.col(f"all_{fault}").cast("double"), (F.col("all_n") - F.col(f"all_{fault}")).cast("double")
-        with_, without = F.col(fault).cast("double"), (F.col("n") - F.col(fault)).cast("double")
-        ratio = F.log((with_ + 0.5) / (have + 1.0)) - F.log((without + 0.5) / (free + 1.0))
-        # a word counts if its documents have the fault far more often than the stratum's do: by the likelihood-ratio
-        # statistic, of which 25 (five deviations) is no accident even among many words. Its weight is a lower
-        # bound of the ratio.
-        error = F.sqrt(1.0 / (with_ + 0.5) + 1.0 / (without + 0.5))
-        share = have / F.col("all_n")
-        odd = 2.0 * (with_ * F.log(with_ / (F.col("n") * share)) + F.when(without > 0, without * F.log(without / (F.col("n") * (1.0 - share)))).otherwise(0.0))
-        some = counted.where(with_ >= 4).select("stratum", "word", (ratio - 1.5 * error).alias("ratio"), odd.alias("odd"))
-        some = some.where("ratio > 0.7 and odd > 25").orderBy(F.desc("odd"), "stratum", "word").limit(LEXICON)
-        lexicons.append({})
-        for r in some.collect():
-            lexicons[-1].setdefault(r.stratum, {})[r.word] = float(r.ratio)
+        share = (F.col(f"all_{fault}") + PRIOR * totals[fault] / max(1, totals.n)) / (F.col("all_n") + PRIOR)
+        own = counted.where((F.col("stratum") != "")).select("stratum", "word", F.col("n").cast("double").alias("n"), F.col(fault).cast("double").alias("bad"), (F.col("n") * share).alias("due"))
+        # what the strata's own rates make of a word's documents: a stratum of many faults makes no word of it faulty
+        pooled = counted.groupBy("word").agg(F.sum("n").cast("double").alias("n0"), F.sum(fault).cast("double").alias("bad0"), F.sum(F.round(F.col("n") * share, 9).cast("decimal(28,9)")).cast("double").alias("due0"))
+        pooled = scratch.save(pooled.where("n0 >= 4 and bad0 >= 4").select("*", *_ratio("n0", "bad0", "due0", "0")), "pooled")
+        counts = pooled.where("ratio0 - 1.5 * error0 > 0.7 and odd0 > 25").orderBy(F.desc("odd0"), "word").limit(LEXICON)
+        common = {r.word: float(r.ratio0 - 1.5 * r.error0) for r in counts.collect()}
+        # a stratum's ratio and that of all others, each by its precision
+        rest = own.join(pooled.select("word", "n0", "bad0", "due0"), "word").select("*", *_ratio("n", "bad", "due", "1"), *_ratio("n0 - n", "bad0 - bad", "due0 - due", "2"))
+        mine, prior = 1 / F.pow("error1", 2), F.when(F.expr("n0 > n"), 1 / (BETWEEN**2 + F.pow("error2", 2))).otherwise(0.0)
+        rest = rest.select("stratum", "word", "odd1", ((mine * F.col("ratio1") + prior * F.col("ratio2")) / (mine + prior) - 1.5 / F.sqrt(mine + prior)).alias("ratio"), F.expr("n >= 4 and bad >= 4 and odd1 > 25").alias("strong"))
+        top = F.row_number().over(Window.partitionBy("stratum").orderBy(F.desc("odd1"), "word"))
+        strong = rest.where("strong and ratio > 0.7").withColumn("_row", top).where(F.col("_row") <= LEXICON).select("stratum", "word", "ratio")
+        # the stratum's own view of the pooled words
+        known = rest.join(F.broadcast(counts.select("word")), "word", "left_semi").select("stratum", "word", "ratio")
+        found: dict[str | None, dict[str, float]] = {None: common}
+        for r in known.union(strong).collect():
+            words = found.setdefault(r.stratum, dict(common))
+            if r.ratio > 0.7:
+                words[r.word] = float(r.ratio)
+            else:
+                words.pop(r.word, None)
+        lexicons.append(found)
     n = len(FEATURES)
     model = Classifier(tuple(lexicons), np.zeros(n), np.ones(n), np.zeros((2, n + 1)))
     model.weights[:, -1] = -10.0
@@ -153,7 +195,7 @@ def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch, id_col: str = "doc
             x = [model.features(t, k) for t, k in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), batch.column(2), batch.column(3)], names=["x", "toxic", "poor"])
 
-    rows = sample.select("text", "stratum", "toxic", "poor").mapInArrow(measure, "x array<double>, toxic int, poor int").collect()
+    rows = sample.where("fitted").select("text", "stratum", "toxic", "poor").mapInArrow(measure, "x array<double>, toxic int, poor int").collect()
     rows.sort(key=lambda r: (r.x, r.toxic, r.poor))  # sums in the same order in every run
     x = np.array([r.x for r in rows])
     mean, scale = x.mean(0), np.maximum(x.std(0), 1e-3)

@@ -41,6 +41,31 @@ def test_held_out_accuracy(spark):
         assert 0 < r.path_rate < 1 and 0 < r.host_rate < 1 and r.kept == (r.p_fault < 0.6)
 
 
+def test_null_unseen_and_rare_languages_have_pooled_words(spark):
+    docs, labels, _ = corpus(900)
+    base = "an er th in on re anre thin oner inth"
+    rare = [(2000 + i, f"{base} {'moron' if i % 2 else 'onre'}", lang, "s1", 1) for i, lang in enumerate([None, None, "new", "new", "few", "few"])]
+    harmless = [(3000 + i, f"{base} moron w{i}", "other", "s1", 1) for i in range(60)]
+    d, lab = frames(spark, docs + rare + harmless, [*labels, (2004, 1, 0), *((3000 + i, 1, 0) for i in range(50))])
+    model = quality.fit(d, lab, Scratch(spark))
+    for lang in (None, "", "new", "few"):
+        assert model.features(base + " moron", lang)[0] > 0.7 and model.features(base, lang)[0] == 0
+    assert model.features(base + " moron", "other")[0] == 0  # its own documents say otherwise
+    out = {r.doc_id: r.p_toxic for r in quality.classify(d, lab, ["doc_id"]).collect()}
+    for i in (0, 2, 4):
+        assert out[2001 + i] > 0.5 > out[2000 + i]
+
+
+def test_each_language_has_its_own_sample(spark, monkeypatch):
+    monkeypatch.setattr(quality, "SAMPLE", 100)
+    docs, labels, _ = corpus(900)
+    some = [(5000 + i, "x", "rare", "s1", 1) for i in range(30)]
+    d, lab = frames(spark, docs + some, [*labels, *((5000 + i, 1, 0) for i in range(30))])
+    rows = quality._labelled(d, lab, "doc_id", "text", "lang", Scratch(spark)).collect()
+    assert sum(r.stratum == "rare" for r in rows) == 30
+    assert 60 < sum(r.stratum == "en" for r in rows) < 140 and 60 < sum(r.fitted for r in rows) < 140
+
+
 def test_sites_shrink_to_their_prior(spark):
     docs, labels, _ = corpus()
     docs.append((900, "an er th in on re an er", "en", "tiny", 5))
