@@ -32,14 +32,14 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the document with the smallest id.
 
-    Near copies have sets of five-word shingles of Jaccard similarity 0.8 or more, compared exactly. Rows equal
-    in id and text are one document. Documents without id are compared by text alone among themselves.
+    Near copies have sets of five-word shingles of Jaccard similarity 0.8 or more, compared exactly. One row of
+    each group stays; a document without id stays only if no other of its group has one.
     """
     keyed = docs.select(*COLUMNS, F.xxhash64("text").alias("_print"))
     found = Scratch(spark).save(similar_documents(keyed, "doc_id", "_print", most=BITS_APART), "similar")
-    least = found.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    found = found.join(least, "component")
-    stay = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id"), F.col("_print").alias("_p")).distinct()
+    # ids that are null come last; of rows with one id, the smallest hash of a text
+    least = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("_none"), "doc_id", "_print")).alias("_least"))
+    stay = least.select(F.col("_least.doc_id").alias("_id"), F.col("_least._print").alias("_p"))
     rows = keyed.join(stay, keyed["doc_id"].eqNullSafe(stay["_id"]) & (keyed["_print"] == stay["_p"]))
     once = Window.partitionBy("doc_id", "_print").orderBy("source", "lang", "n_chars")
     return rows.withColumn("_row", F.row_number().over(once)).where("_row = 1").select(*COLUMNS)

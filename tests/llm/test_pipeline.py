@@ -83,6 +83,13 @@ def test_near_dedup_is_decided_by_exact_jaccard(spark):
     assert sorted(r.doc_id for r in cp.near_dedup(spark, frame(spark, rows), "").collect()) == want
 
 
+def test_near_copies_of_one_id_or_none_leave_one_row(spark):
+    text = lambda name, end: " ".join(f"{name}{i}" for i in range(60)) + end
+    rows = [(None, text("a", " x"), "en", "s", 1), (None, text("a", " y"), "en", "s", 1), (7, text("b", " x"), "en", "s", 1), (7, text("b", " y"), "en", "s", 1), (9, text("c", ""), "en", "s", 1), (None, text("c", " y"), "en", "s", 1)]
+    out = cp.near_dedup(spark, frame(spark, rows), "").collect()
+    assert sorted(r.text[:2] for r in out) == ["a0", "b0", "c0"] and {r.doc_id for r in out} == {None, 7, 9}
+
+
 def test_units_of_many_sets_lose_no_pair(spark, monkeypatch):
     from neolexis.llm import simhash
 
