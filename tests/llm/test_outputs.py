@@ -44,6 +44,40 @@ def test_token_output_round_trip(spark):
     assert token_output.read_tokens(spark, empty).count() == 0
 
 
+def test_word_encoder_on_random_texts(monkeypatch):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(token_output, "CACHE_WORDS", 300)
+    plain, enc, rng = Tokenizer.from_file(PATH), token_output.WordEncoder(PATH), random.Random(8)
+    marks = "aabcdEFzéÉĲßİ-'’.,!?\"()[]{}@#1279   \t\n\x0b\u00a0\u0301\u2009漢\U0001f600"
+    texts = ["".join(rng.choice(marks) for _ in range(rng.randrange(40))) for _ in range(3000)]
+    for at in range(0, len(texts), 250):
+        ids, sizes = enc.encode(pa.array(texts[at : at + 250]))
+        want = [plain.encode(t, add_special_tokens=False).ids for t in texts[at : at + 250]]
+        assert sizes.tolist() == list(map(len, want)) and ids.tolist() == sum(want, [])
+
+
+def test_token_files_prune_and_take_null_ids(spark):
+    import pyarrow.orc
+
+    rows = [(i, f"w{i} " * 40) for i in range(6000)] + [(None, "no id"), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    path = scratch_path(spark, "p")
+    token_output.write_tokens(docs, path, PATH, stripe_bytes=1 << 16, row_stride=1000)
+    files = [f for f in spark.read.orc(path).inputFiles()]
+    ranges = [(s["low"], s["high"]) for s in (spark.read.orc(f).agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).first() for f in files) if s["low"] is not None]
+    ranges.sort()
+    assert all(a[1] < b[0] for a, b in zip(ranges, ranges[1:]))  # files hold disjoint ascending ranges
+    assert max(pyarrow.orc.ORCFile(f.removeprefix("file://")).nstripes for f in files) >= 1
+    out = token_output.read_tokens(spark, path)
+    assert sorted(r.start for r in out.where("doc_id is null").collect())[0] == 0
+    # the filter reaches the scan, and the totals come from their own small table
+    plan = token_output.lookup(spark, path, 77)._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [IsNotNull(doc_id), EqualTo(doc_id,77)" in plan.replace("77L", "77") and "struct<part:int,total:bigint>" in plan and plan.count("FileScan orc") == 1
+    (row,) = token_output.lookup(spark, path, 77).collect()
+    assert row.start == sum(r.n_tokens for r in out.where("doc_id is null or doc_id < 77").collect())
+
+
 def targets(sizes, most=3):
     names = sorted(sizes, key=lambda s: (s is None, s))
     weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(names)}
