@@ -5,11 +5,12 @@ from __future__ import annotations
 import math
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import Params, Scope
 from ..functions.text import is_gibberish, sigmoid
+from .ranks import global_rank
 
 FLAGS = ["is_profane", "is_typo", "is_reddit_jargon", "is_subreddit"]
 METADATA = ["count_reddit_all_time", "total_tokens_all_time", "p_reddit_all_time", "count_clean", "total_clean_tokens", "p_clean", "clean_ratio_score", "has_monthly_spike", "max_spike_score_monthly", "num_spike_periods_monthly", "has_yearly_spike", "max_spike_score_yearly", "num_spike_periods_yearly", "spike_profile"]
@@ -165,16 +166,3 @@ def token_scores(ratio: DataFrame, monthly: DataFrame, yearly: DataFrame, params
     top = floor + (1.0 - floor) * (1.0 - (F.col("rank") - 1) / float(max(k - 1, 1)))
     tail = floor * F.exp(-params.tail_decay * (F.col("rank") - k))
     return ranked.select(*scope.join, F.when(F.col("rank") <= k, top).otherwise(tail).alias("slang_score"))
-
-
-def global_rank(rows: DataFrame, order: list, out: str, buckets: int = 65_536) -> DataFrame:
-    """Row numbers over a total order that begins with a falling score in [0, 1], without one task for all rows.
-
-    Scores are cut into fixed buckets; a row's rank is its number within its bucket plus the rows of higher
-    buckets, which is a small table.
-    """
-    cut = rows.withColumn("_bucket", F.floor(F.col("power") * buckets))
-    before = Window.orderBy(F.desc("_bucket")).rowsBetween(Window.unboundedPreceding, -1)
-    sizes = cut.groupBy("_bucket").agg(F.count("*").alias("_n")).select("_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
-    numbered = cut.withColumn("_row", F.row_number().over(Window.partitionBy("_bucket").orderBy(*order)))
-    return numbered.join(sizes, "_bucket").withColumn(out, F.col("_row") + F.col("_base")).drop("_bucket", "_row", "_base")

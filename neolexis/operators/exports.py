@@ -54,26 +54,34 @@ def missing_tokens(scores: DataFrame, wanted: DataFrame) -> DataFrame:
     return wanted.join(scores.select("token"), "token", "left_anti")
 
 
+#: Columns that order rows which tie in a preview's own columns.
+_TIES = ["token", "subreddit", "corpus", "year", "month", "post_id", "token_start"]
+
+
 def preview(df: DataFrame, sort: list[tuple[str, bool]] = (), limit: int = 20) -> DataFrame:
-    """First rows by (column, falling) pairs; columns that aren't there are skipped."""
-    order = [F.desc(c) if falling else F.asc(c) for c, falling in sort if c in df.columns]
-    return (df.orderBy(*order) if order else df).limit(limit)
-
-
-#: Named orders for previews.
-PREVIEWS: dict[str, list[tuple[str, bool]]] = {
-    "clean_posts": [("timestamp", True)],
-    "tokens": [("post_id", False), ("token_start", False)],
-    "clean_stats": [("count_clean", True), ("token", False)],
-    "stats": [("count_reddit", True), ("token", False), ("year", False), ("month", False)],
-    "clean_ratio": [("clean_ratio_score", True), ("token", False)],
-    "spikes": [("spike_score", True), ("token", False), ("year", False), ("month", False)],
-    "candidates": [("clean_ratio_score", True), ("token", False)],
-    "combined": [("max_spike_score_monthly", True), ("max_spike_score_yearly", True), ("token", False)],
-    "occurrences": [("post_id", False), ("token_start", False)],
-    "bert_inputs": [("post_id", False), ("token_start", False)],
-    "token_scores": [("slang_score", True), ("subreddit", False), ("token", False)],
-}
+    """First rows by (column, falling) pairs, nulls last; columns that aren't there are skipped."""
+    order = [F.desc_nulls_last(c) if falling else F.asc_nulls_last(c) for c, falling in sort if c in df.columns]
+    ties = [F.asc_nulls_last(c) for c in _TIES if c in df.columns and c not in {c for c, _ in sort}]
+    return (df.orderBy(*order, *ties) if order else df).limit(limit)
+
+
+#: Named orders of each viewer; fixed values.
+PREVIEWS: dict[str, dict[str, list[tuple[str, bool]]]] = {
+    "clean_posts": {"default": [("timestamp", False), ("post_id", False)]},
+    "tokens": {"default": [("timestamp", False), ("post_id", False), ("token_start", False)]},
+    "clean_stats": {"default": [("count_clean", True)]},
+    "stats": {"default": [("count_reddit", True), ("p_reddit", True)], "probability": [("p_reddit", True), ("count_reddit", True)], "time": [("year", False), ("month", False), ("count_reddit", True)]},
+    "clean_ratio": {"default": [("clean_ratio_score", True), ("count_reddit", True)]},
+    "spikes": {"default": [("spike_score", True), ("count_reddit", True)], "time": [("year", False), ("month", False), ("spike_score", True)], "count": [("count_reddit", True), ("spike_score", True)]},
+    "candidates": {"default": [("clean_ratio_score", True), ("count_reddit_all_time", True)], "spike": [("max_spike_score", True), ("clean_ratio_score", True)], "count": [("count_reddit_all_time", True), ("clean_ratio_score", True)]},
+    "combined": {
+        "default": [("clean_ratio_score", True), ("count_reddit_all_time", True)], "monthly_spike": [("max_spike_score_monthly", True), ("clean_ratio_score", True)], "yearly_spike": [("max_spike_score_yearly", True), ("clean_ratio_score", True)],
+        "count": [("count_reddit_all_time", True), ("clean_ratio_score", True)], "profile": [("has_monthly_spike", True), ("has_yearly_spike", True), ("clean_ratio_score", True)],
+    },
+    "occurrences": {"default": [("timestamp", False), ("post_id", False), ("token_start", False)], "ratio": [("clean_ratio_score", True), ("timestamp", False)], "spike": [("max_spike_score", True), ("clean_ratio_score", True), ("timestamp", False)]},
+    "bert_inputs": {"default": [("timestamp", False), ("token", False)], "token": [("token", False), ("timestamp", False)], "subreddit": [("subreddit", False), ("timestamp", False), ("token", False)]},
+    "token_scores": {"default": [("slang_score", True), ("token", False)], "token": [("token", False), ("slang_score", True)], "subreddit": [("subreddit", False), ("slang_score", True), ("token", False)]},
+}
 
 
 def score_histogram(scores: DataFrame, bins: int = 50) -> DataFrame:
@@ -87,10 +95,52 @@ def profile_counts(combined: DataFrame) -> DataFrame:
     return combined.groupBy("spike_profile").agg(F.count("*").alias("n"))
 
 
-def top_tokens(combined: DataFrame, metric: str, n: int = 10) -> DataFrame:
-    """Best tokens by a metric, nulls last, a row a token."""
-    best = combined.groupBy("token").agg(F.max(metric).alias(metric))
-    return best.orderBy(F.desc_nulls_last(metric), "token").limit(n)
+METRICS = ["clean_ratio_score", "max_spike_score_monthly", "max_spike_score_yearly"]
+
+
+def unique_candidates(rows: DataFrame, scope: Scope) -> DataFrame:
+    """Of plotting rows, the candidates: a row each of the scope's keys."""
+    return rows.select(*scope.keys, *[c for c in METADATA if c in rows.columns]).distinct()
+
+
+def _falling(df: DataFrame) -> list[Column]:
+    return [*(F.desc_nulls_last(m) for m in METRICS), *(F.asc_nulls_last(c) for c in ("token", "subreddit", "corpus") if c in df.columns)]
+
+
+def candidate_summary(candidates: DataFrame, top_n: int = 20) -> DataFrame:
+    """The best 5 * top_n candidates by ratio, then monthly, then yearly spike; nulls last."""
+    return candidates.orderBy(*_falling(candidates)).limit(5 * top_n)
+
+
+def top_tokens(candidates: DataFrame, metric: str, n: int = 20) -> DataFrame:
+    """The best n candidates (token, metric) by one metric; those without it are left out."""
+    some = candidates.where(F.col(metric).isNotNull() & ~F.isnan(metric))
+    ties = [F.asc_nulls_last(c) for c in ("token", "subreddit", "corpus") if c in some.columns]
+    return some.orderBy(F.desc(metric), *ties).limit(n).select("token", metric)
+
+
+def auto_tokens(candidates: DataFrame, n: int = 10) -> DataFrame:
+    """The first n distinct tokens in the order of candidate_summary; each token stands where its best row does."""
+    best = candidates.groupBy("token").agg(F.max(F.struct(*[F.coalesce(m, F.lit(float("-inf"))).alias(m) for m in METRICS])).alias("_best"))
+    return best.orderBy(F.desc("_best"), "token").limit(n).select("token")
+
+
+def plot_dates(rows: DataFrame) -> DataFrame:
+    """Plotting rows with plot_date: the first day of their month, or of their year."""
+    return rows.withColumn("plot_date", F.make_date("year", F.coalesce(F.when(F.col("time_grain") == "monthly", F.col("month")), F.lit(1)), F.lit(1)))
+
+
+def token_series(rows: DataFrame, token: str, grain: str) -> DataFrame:
+    """One token's rows of a grain in time order, for its panels."""
+    kept = ["plot_date", "count_reddit", "p_reddit", *(f"{grain}_{c}" for c in ("spike_score", "p_baseline", "p_current_smoothed"))]
+    one = plot_dates(rows).where((F.col("token") == token) & (F.col("time_grain") == grain))
+    keys = [c for c in ("subreddit", "corpus") if c in one.columns]
+    return one.orderBy("plot_date", *keys).select(*keys, *kept)
+
+
+def score_rows(scores: DataFrame) -> DataFrame:
+    """What the score histogram is drawn from."""
+    return scores.select("slang_score")
 
 
 def distinct_tokens(tokens: DataFrame) -> DataFrame:

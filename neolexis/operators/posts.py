@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import tokenize_with_offsets
+from .ranks import global_rank
 
 POST_COLUMNS = ["post_id", "subreddit", "timestamp", "year", "month", "week_start_date", "body", "score"]
 TOKEN_KEYS = ["post_id", "subreddit", "timestamp", "year", "month", "week_start_date"]
@@ -27,16 +28,21 @@ def tokenize(posts: DataFrame) -> DataFrame:
     return tokenize_with_offsets(posts, "body", TOKEN_KEYS)
 
 
-def _chosen(key: Column, fraction: float, seed: int) -> Column:
-    """Whether a key falls into a sample; it depends on the key alone, not on how rows are partitioned."""
-    return F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1_000_000)) < int(round(fraction * 1_000_000))
+def chosen(key: Column, fraction: float | Column, seed: int) -> Column:
+    """Whether a key falls into a sample: by 32 bits of the MD5 of key and seed, as any engine can. It depends
+    on the key alone, not on how rows are partitioned. Null keys are never chosen."""
+    place = F.conv(F.substring(F.md5(F.concat_ws("|", key, F.lit(str(seed))).cast("binary")), 1, 8), 16, 10).cast("long")
+    return key.isNotNull() & (place < F.lit(fraction) * F.lit(float(1 << 32)))
 
 
 def sample_tokens(tokens: DataFrame, fraction: float, seed: int = 42) -> DataFrame:
-    """All tokens of a share of the posts of every month: a hash of the post decides, so there is no shuffle."""
+    """All tokens of a share of the posts of every month: a hash of the post decides, so there is no shuffle.
+
+    Posts are told apart by id, year and month.
+    """
     if not 0 < fraction <= 1:
         raise ValueError("fraction must lie in (0, 1]")
-    return tokens.where(_chosen(F.concat_ws("|", "post_id", "year", "month"), fraction, seed))
+    return tokens.where(chosen(F.concat_ws("|", "post_id", "year", "month"), fraction, seed))
 
 
 def posts_of(posts: DataFrame, tokens: DataFrame) -> DataFrame:
@@ -45,9 +51,21 @@ def posts_of(posts: DataFrame, tokens: DataFrame) -> DataFrame:
 
 
 def sample_posts_by_week(posts: DataFrame, limit: int, seed: int = 8540) -> DataFrame:
-    """About limit / weeks posts of every week."""
+    """About limit / weeks posts of every week, and no more than `limit` in all.
+
+    A hash of the post decides within its week. Rows beyond the limit go, those with the largest hashes of the
+    whole table first, so that a rerun keeps the same rows.
+    """
+    if limit < 1:
+        raise ValueError("limit must be at least 1")
     counts = posts.groupBy("week_start_date").agg(F.count("*").alias("_n"))
-    weeks = counts.agg(F.count("*").alias("_weeks"))
-    share = counts.crossJoin(F.broadcast(weeks)).select("week_start_date", F.least(F.lit(1.0), F.ceil(F.lit(limit) / F.col("_weeks")) / F.col("_n")).alias("_share"))  # one row
-    hit = F.pmod(F.xxhash64("post_id", F.lit(seed)), F.lit(1_000_000)) < F.col("_share") * 1_000_000
-    return posts.join(share, "week_start_date").where(hit).select(*posts.columns)
+    weeks = counts.agg(F.greatest(F.count("*"), F.lit(1)).alias("_weeks"))
+    share = counts.crossJoin(F.broadcast(weeks)).select(F.col("week_start_date").alias("_week"), F.least(F.lit(1.0), F.ceil(F.lit(limit) / F.col("_weeks")) / F.col("_n")).alias("_share"))  # one row
+    picked = posts.join(share, F.col("week_start_date").eqNullSafe(F.col("_week"))).where(chosen(F.col("post_id"), F.col("_share"), seed)).select(*posts.columns)
+    ranked = global_rank(picked.withColumn("_hash", F.md5(F.concat_ws("|", "post_id", F.lit(str(seed))).cast("binary"))), ["_hash", "post_id"], "_rank")
+    return ranked.where(F.col("_rank") <= limit).select(*posts.columns)
+
+
+def weeks(posts: DataFrame) -> DataFrame:
+    """The weeks that posts are of."""
+    return posts.select("week_start_date").distinct()

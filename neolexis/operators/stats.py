@@ -64,20 +64,17 @@ def spike_scores(stats: DataFrame, candidates: DataFrame, params: Params, scope:
 
     Previous periods are the last `window` observed anywhere in stats; in those a token without a row counts 0,
     and an entity without rows has a total of 0. A dense token x period grid would say that directly. Here only
-    rows that exist are touched: periods are numbered once, entity totals are summed over each window on the
-    small entity x period table, and token counts by a range frame over period numbers.
+    rows that exist are touched: periods are numbered once (a row a month or year, the only window without a
+    partition), and entity totals and token counts are summed by range frames over period numbers.
     A period count of at least 1 is needed for that, since only periods with a row can score.
     """
     if params.min_period_count < 1:
         raise ValueError("min_period_count must be at least 1")
     time, n = TIME[grain], params.window(grain)
-    numbered = stats.select(*time).distinct().withColumn("_at", F.row_number().over(Window.orderBy(*time)))  # one row a period
-    buckets = stats.groupBy(scope.entity, *time).agg(F.max("total_tokens").alias("total_tokens"))
-    entities = buckets.select(scope.entity).distinct()
-    # one row for each entity and period: the totals of the windows, with absent buckets as 0
-    totals = entities.crossJoin(F.broadcast(numbered)).join(buckets, [scope.entity, *time], "left").withColumn("_t", F.coalesce("total_tokens", F.lit(0)))
-    before = Window.partitionBy(scope.entity).orderBy("_at").rowsBetween(-n, -1)
-    totals = totals.select(scope.entity, *time, "_at", F.sum("_t").over(before).alias("baseline_total_tokens"), F.sum((F.col("_t") > 0).cast("long")).over(before).alias("baseline_periods"))
+    numbered = stats.select(*time).distinct().withColumn("_at", F.row_number().over(Window.orderBy(*time)))
+    buckets = stats.groupBy(scope.entity, *time).agg(F.max("total_tokens").alias("_t")).join(numbered, time)
+    before = Window.partitionBy(scope.entity).orderBy("_at").rangeBetween(-n, -1)
+    totals = buckets.select(scope.entity, *time, "_at", F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("baseline_total_tokens"), F.coalesce(F.sum((F.col("_t") > 0).cast("long")).over(before), F.lit(0)).alias("baseline_periods"))
     rows = stats.join(candidates, scope.keys).join(totals, [scope.entity, *time])
     same = Window.partitionBy(*scope.keys).orderBy("_at").rangeBetween(-n, -1)
     rows = rows.withColumn("baseline_count_reddit", F.coalesce(F.sum("count_reddit").over(same), F.lit(0)))

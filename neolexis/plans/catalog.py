@@ -29,16 +29,43 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Rows dealt over all cores where the input has fewer files than cores; larger inputs are left as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if len(df.inputFiles()) >= cores else df.repartition(cores, key)
+
+
 def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, orders = table(spark, sf_dir, "documents"), table(spark, sf_dir, "orders")
+    docs, orders = spread(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), "doc_id"), table(spark, sf_dir, "orders")
     raw = docs.join(orders, docs["doc_id"] == orders["o_orderkey"]).select(
         F.col("doc_id").alias("id"), F.col("source").alias("subreddit"), F.unix_seconds(F.col("o_orderdate").cast("timestamp")).alias("created_utc"), F.col("text").alias("body"), F.floor("o_totalprice").cast("int").alias("score"),
     )
     return P.clean_posts(raw)
 
 
+_engines: dict[tuple, Engine] = {}
+
+
+def _stamp(spark: SparkSession, path: str) -> tuple[int, int]:
+    """Size and time of change of a table's file or folder."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    status = p.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(p)
+    return status.getLen(), status.getModificationTime()
+
+
 def engine(spark: SparkSession, sf_dir: str) -> Engine:
-    return Engine(posts(spark, sf_dir), table(spark, sf_dir, "conversations"), SMALL, [words(spark, Q.LEXICON)])
+    """The stages over one folder of tables; queries of one session share what they write."""
+    key = (spark.sparkContext.applicationId, sf_dir, *(_stamp(spark, f"{sf_dir}/{t}.parquet") for t in ("documents", "orders", "conversations")))
+    if key not in _engines:
+        _engines[key] = Engine(posts(spark, sf_dir), table(spark, sf_dir, "conversations"), SMALL, [words(spark, Q.LEXICON)])
+    return _engines[key]
+
+
+def forget() -> None:
+    """Delete the stages' shared tables, so that the next query starts from the raw tables."""
+    for e in _engines.values():
+        e.forget()
+    _engines.clear()
 
 
 def tidy(df: DataFrame) -> DataFrame:
@@ -51,11 +78,9 @@ def tidy(df: DataFrame) -> DataFrame:
     return df.select(*out)
 
 
-def brief(df: DataFrame) -> DataFrame:
-    """A row for each token with the whole text around it is too much to bring to one place: the text's length and
-    what it has at the token's offsets say as much."""
-    inside = F.substring("full_text", F.col("token_start") + 1, F.col("token_end") - F.col("token_start"))
-    return df.withColumns({"text_length": F.length("full_text"), "in_text": inside}).drop("full_text")
+def hashed(df: DataFrame) -> DataFrame:
+    """The text around each token as its MD5: all of it is compared, and the result stays of a size to fetch."""
+    return df.withColumn("full_text_md5", F.md5("full_text")).drop("full_text")
 
 
 def _queries() -> dict[str, tuple[Query, str | None]]:
@@ -75,11 +100,15 @@ def _queries() -> dict[str, tuple[Query, str | None]]:
     add("distinct_token_count", lambda e: X.distinct_tokens(e.tokens), Q.sql("global", "SELECT count(DISTINCT token) AS distinct_tokens FROM tokens"))
     add("posts_per_week", lambda e: e.posts.groupBy("week_start_date").agg(F.count("*").alias("n")), Q.sql("global", "SELECT CAST(week AS VARCHAR) AS week_start_date, count(*) AS n FROM posts GROUP BY week"))
     add("clean_stats", lambda e: e.clean, Q.sql("global", "SELECT token, count_clean, total_clean_tokens, round(p_clean, 9) AS p_clean FROM clean"))
-    # the share of posts is set by a test on the id here, so that SQL can follow; sample_tokens hashes the id
-    add("tokens_subset", lambda e: e.tokens.where(F.col("post_id").cast("long") % 10 == 0), Q.sql("global", f"SELECT {Q.TOKEN_COLUMNS} FROM tokens WHERE CAST(post_id AS BIGINT) % 10 = 0"))
-    add("posts_subset", lambda e: P.posts_of(e.posts, e.tokens.where(F.col("post_id").cast("long") % 10 == 0)), Q.sql("global", "SELECT post_id, subreddit, strftime(ts, '%Y-%m-%d %H:%M:%S') AS timestamp, year, month, CAST(week AS VARCHAR) AS week_start_date, body, score FROM posts WHERE post_id IN (SELECT post_id FROM tokens WHERE CAST(post_id AS BIGINT) % 10 = 0)"))
-    add("tokens_sample_hashed", lambda e: P.sample_tokens(e.tokens, 0.1), None)
-    add("posts_sample_weekly", lambda e: P.sample_posts_by_week(e.posts, 200), None)
+    post = "post_id, subreddit, strftime(ts, '%Y-%m-%d %H:%M:%S') AS timestamp, year, month, CAST(week AS VARCHAR) AS week_start_date, body, score"
+    place = "CAST('0x' || substr(md5({} || '|{}'), 1, 8) AS BIGINT)"
+    tenth = f"{place.format("concat_ws('|', post_id, year, month)", 42)} < 0.1 * 4294967296"
+    add("tokens_subset", lambda e: P.sample_tokens(e.tokens, 0.1), Q.sql("global", f"SELECT {Q.TOKEN_COLUMNS} FROM tokens WHERE {tenth}"))
+    add("posts_subset", lambda e: P.posts_of(e.posts, P.sample_tokens(e.tokens, 0.1)), Q.sql("global", f"SELECT {post} FROM posts WHERE post_id IN (SELECT post_id FROM tokens WHERE {tenth})"))
+    weekly = f"weekly AS (SELECT *, count(*) OVER (PARTITION BY week) AS n, (SELECT count(DISTINCT week) FROM posts) AS weeks FROM posts)"
+    shared = f"shared AS (SELECT * FROM weekly WHERE {place.format('post_id', 8540)} < least(1.0, ceil(200 / weeks) / n) * 4294967296)"
+    add("posts_sample_weekly", lambda e: P.sample_posts_by_week(e.posts, 200), Q.sql("global", f"SELECT {post} FROM shared ORDER BY md5(post_id || '|8540'), post_id LIMIT 200", weekly, shared))
+    add("sampled_weeks", lambda e: P.weeks(P.sample_posts_by_week(e.posts, 200)), Q.sql("global", "SELECT DISTINCT CAST(week AS VARCHAR) AS week_start_date FROM (SELECT * FROM shared ORDER BY md5(post_id || '|8540'), post_id LIMIT 200)", weekly, shared))
     for mode in ("subreddit", "global"):
         scope, ent = Scope(mode), f"entity AS {Scope(mode).entity}"
         for grain in ("monthly", "yearly", "all_time"):
@@ -96,10 +125,17 @@ def _queries() -> dict[str, tuple[Query, str | None]]:
         found = f"found AS (SELECT t.*, c.* EXCLUDE (entity, token, is_slang_candidate_clean_ratio_spiking_combined) FROM tokens t JOIN combined c ON {on})"
         tags = f"true AS is_slang_candidate, 'spiking_combined' AS candidate_type, '{mode}' AS candidate_mode"
         add(f"occurrences_{mode}", lambda e, m=mode: e.occurrences(m), Q.sql(mode, f"SELECT {Q.TOKEN_COLUMNS}, {tags}, {Q.rounded('meta')} FROM found", found))
-        add(f"occurrences_spiking_monthly_{mode}", lambda e, m=mode: C.occurrences(e.tokens, e.spiking("monthly", m), Scope(m), "spiking", "monthly"), Q.sql(mode, f"SELECT {Q.TOKEN_COLUMNS.replace('token', 't.token', 0)}, true AS is_slang_candidate, 'spiking' AS candidate_type, '{mode}' AS candidate_mode, 'monthly' AS spike_time_grain, {Q.rounded('one_meta')} FROM one", f"one AS (SELECT t.*, c.* EXCLUDE (entity, token) FROM tokens t JOIN spiking_monthly c ON {on})"))
+        single = {"clean_ratio": ("cand", "NULL", "cand_meta"), "spiking_monthly": ("spiking_monthly", "'monthly'", "one_meta"), "spiking_yearly": ("spiking_yearly", "'yearly'", "one_meta")}
+        for name, (source, by, meta) in single.items():
+            kind, grain = (name, None) if name == "clean_ratio" else ("spiking", name.split("_")[1])
+            one = f"one AS (SELECT t.*, c.* EXCLUDE (entity, token) FROM tokens t JOIN {source} c ON {on})"
+            add(f"occurrences_{name}_{mode}", lambda e, m=mode, k=kind, g=grain: e.occurrences(m, kind=k, grain=g), Q.sql(mode, f"SELECT {Q.TOKEN_COLUMNS}, true AS is_slang_candidate, '{kind}' AS candidate_type, '{mode}' AS candidate_mode, CAST({by} AS VARCHAR) AS spike_time_grain, {Q.rounded(meta)} FROM one", one))
+            add(f"bert_inputs_{name}_{mode}", lambda e, m=mode, k=kind, g=grain: hashed(e.bert_inputs(m, k, g)), Q.sql(mode, "SELECT post_id, subreddit, strftime(ts, '%Y-%m-%d %H:%M:%S') AS timestamp, token, token_start, token_end, full_text_md5, true AS is_slang_candidate FROM one LEFT JOIN (SELECT post_id, md5(body) AS full_text_md5 FROM posts) USING (post_id)", one))
+            add(f"candidate_tokens_{name}_{mode}", lambda e, m=mode, k=kind, g=grain: X.candidate_tokens(e.of_type(k, m, g)), Q.sql(mode, f"SELECT DISTINCT token FROM {source}"))
         bert = "post_id, subreddit, strftime(ts, '%Y-%m-%d %H:%M:%S') AS timestamp, token, token_start, token_end, full_text"
         text = "LEFT JOIN (SELECT post_id, body AS full_text FROM posts) USING (post_id)"
-        add(f"bert_inputs_{mode}", lambda e, m=mode: C.bert_inputs(e.tokens, e.combined(m), e.posts, Scope(m)), Q.sql(mode, f"SELECT {bert}, true AS is_slang_candidate FROM found {text}", found))
+        digest = "LEFT JOIN (SELECT post_id, md5(body) AS full_text_md5 FROM posts) USING (post_id)"
+        add(f"bert_inputs_{mode}", lambda e, m=mode: e.bert_inputs(m), Q.sql(mode, f"SELECT {bert}, true AS is_slang_candidate FROM found {text}", found))
         add(f"slang_scores_{mode}", lambda e, m=mode: e.occurrence_scores(m), Q.sql(mode, f"SELECT {Q.TOKEN_COLUMNS}, {'' if mode == 'subreddit' else 'entity AS corpus, '}{Q.rounded('features')} FROM scored", f"scored AS (SELECT t.*, c.* EXCLUDE (token) FROM tokens t LEFT JOIN features c ON {on})"))
         keys = "entity AS subreddit, " if mode == "subreddit" else ""
         ranked = f"SELECT {keys}token, round(CASE WHEN rank <= 100 THEN 0.8 + (1.0 - 0.8) * (1.0 - (rank - 1) / 99.0) ELSE 0.8 * exp(-0.002 * (rank - 100)) END, 9) AS slang_score FROM ranked"
@@ -112,8 +148,8 @@ def _queries() -> dict[str, tuple[Query, str | None]]:
     place = "post_id, token, token_start, token_end"
     marked = f"marked AS (SELECT t.*, f.token IS NOT NULL AS is_slang_candidate FROM tokens t LEFT JOIN (SELECT DISTINCT {place} FROM found) f USING ({place}))"
     add("occurrences_full_text", lambda e: e.occurrences("global", full_text=True).select("post_id", "token", "token_start", "token_end", F.md5("full_text").alias("text_md5")), Q.sql("global", f"SELECT {place}, md5(body) AS text_md5 FROM found JOIN posts USING (post_id)", found))
-    add("bert_inputs_all_tokens", lambda e: brief(C.all_bert_inputs(e.tokens, e.occurrences("global"), e.posts)), Q.sql("global", f"SELECT post_id, subreddit, strftime(ts, '%Y-%m-%d %H:%M:%S') AS timestamp, token, token_start, token_end, length(full_text) AS text_length, substr(full_text, token_start + 1, token_end - token_start) AS in_text, is_slang_candidate FROM marked {text}", found, marked))
-    add("bert_inputs_scored", lambda e: brief(C.scored_bert_inputs(e.tokens, e.token_scores("global", replace(SMALL, rank_top_k=0)), e.posts, Scope("global"))), Q.sql("global", f"SELECT post_id, subreddit, strftime(ts, '%Y-%m-%d %H:%M:%S') AS timestamp, t.token, token_start, token_end, length(full_text) AS text_length, substr(full_text, token_start + 1, token_end - token_start) AS in_text, round(coalesce(raw, 0.0), 9) AS slang_score FROM tokens t LEFT JOIN raws p ON p.token = t.token {text}"))
+    add("bert_inputs_all_tokens", lambda e: hashed(C.all_bert_inputs(e.tokens, e.occurrences("global"), e.posts)), Q.sql("global", f"SELECT post_id, subreddit, strftime(ts, '%Y-%m-%d %H:%M:%S') AS timestamp, token, token_start, token_end, full_text_md5, is_slang_candidate FROM marked {digest}", found, marked))
+    add("bert_inputs_scored", lambda e: hashed(C.scored_bert_inputs(e.tokens, e.token_scores("global", replace(SMALL, rank_top_k=0)), e.posts, Scope("global"))), Q.sql("global", f"SELECT post_id, subreddit, strftime(ts, '%Y-%m-%d %H:%M:%S') AS timestamp, t.token, token_start, token_end, full_text_md5, round(coalesce(raw, 0.0), 9) AS slang_score FROM tokens t LEFT JOIN raws p ON p.token = t.token {digest}"))
     add("non_candidates_anti", lambda e: C.non_candidates(e.tokens, e.occurrences("global")), Q.sql("global", f"SELECT {Q.TOKEN_COLUMNS} FROM marked WHERE NOT is_slang_candidate", found, marked))
     add("label_counts", lambda e: C.label_counts(e.tokens, e.occurrences("global")), Q.sql("global", "SELECT b.is_slang_candidate, count(m.token) AS occurrences FROM (VALUES (true), (false)) b(is_slang_candidate) LEFT JOIN marked m USING (is_slang_candidate) GROUP BY 1", found, marked))
     add("spike_profile_counts", lambda e: X.profile_counts(e.combined("subreddit")), Q.sql("subreddit", "SELECT spike_profile, count(*) AS n FROM combined GROUP BY 1"))
@@ -121,10 +157,41 @@ def _queries() -> dict[str, tuple[Query, str | None]]:
     add("score_histogram", lambda e: X.score_histogram(e.token_scores("subreddit", replace(SMALL, rank_top_k=0))), Q.sql("subreddit", "SELECT CAST(least(floor(raw * 50), 49) AS INTEGER) AS bin, count(*) AS n FROM raws GROUP BY 1"))
     add("lookup_scores", lambda e: X.lookup(e.token_scores("subreddit"), ["the", "ndly", "dieanan", "ererthing", "that"]), Q.sql("subreddit", ranked.replace("SELECT token", "SELECT entity AS subreddit, token") + " WHERE token IN ('the', 'ndly', 'dieanan', 'ererthing', 'that')"))
     add("lookup_missing", lambda e: X.missing_tokens(e.token_scores("subreddit"), words(e.posts.sparkSession, ["ndly", "no such token"])), Q.sql("subreddit", "SELECT token FROM (VALUES ('ndly'), ('no such token')) w(token) WHERE token NOT IN (SELECT token FROM ranked)"))
-    add("top_tokens_monthly_spike", lambda e: X.top_tokens(e.combined("subreddit"), "max_spike_score_monthly"), Q.sql("subreddit", "SELECT token, round(max(max_spike_score_monthly), 9) AS max_spike_score_monthly FROM combined GROUP BY 1 ORDER BY max(max_spike_score_monthly) DESC NULLS LAST, token LIMIT 10"))
-    add("preview_stats", lambda e: X.preview(e.stats("monthly", "global"), X.PREVIEWS["stats"]), Q.sql("global", "SELECT entity AS corpus, year, month, token, count_reddit, total_tokens, round(p_reddit, 9) AS p_reddit FROM st_monthly ORDER BY count_reddit DESC, token, year, month LIMIT 20"))
-    add("preview_clean_stats", lambda e: X.preview(e.clean, X.PREVIEWS["clean_stats"]), Q.sql("global", "SELECT token, count_clean, total_clean_tokens, round(p_clean, 9) AS p_clean FROM clean ORDER BY count_clean DESC, token LIMIT 20"))
-    add("preview_tokens", lambda e: X.preview(e.tokens, X.PREVIEWS["tokens"]), Q.sql("global", f"SELECT {Q.TOKEN_COLUMNS} FROM tokens ORDER BY post_id, token_start LIMIT 20"))
+    # top tables and plotting data, from the plotting rows as an export has them
+    rows = lambda e, m="subreddit": X.plotting_rows(e.combined(m), {g: e.stats(g, m) for g in ("monthly", "yearly")}, {g: e.spikes(g, m) for g in ("monthly", "yearly")}, Scope(m))
+    plotted = f"plotted AS ({Q.plotting('entity AS subreddit')})"
+    # every combined candidate has plotting rows, so the candidates of those rows are the combined ones
+    falling = "clean_ratio_score DESC NULLS LAST, max_spike_score_monthly DESC NULLS LAST, max_spike_score_yearly DESC NULLS LAST"
+    add("unique_candidates", lambda e: X.unique_candidates(rows(e), Scope("subreddit")), Q.sql("subreddit", f"SELECT entity AS subreddit, token, {Q.rounded('meta')} FROM combined"))
+    add("candidate_summary", lambda e: X.candidate_summary(e.combined("subreddit").drop("is_slang_candidate_clean_ratio_spiking_combined"), 20), Q.sql("subreddit", f"SELECT * FROM (SELECT entity AS subreddit, token, {Q.rounded('meta')} FROM combined c ORDER BY {falling.replace('clean_ratio_score', 'c.clean_ratio_score').replace('max_', 'c.max_')}, c.token, c.entity LIMIT 100)"))
+    for metric in X.METRICS:
+        add(f"top_tokens_{metric}", lambda e, c=metric: X.top_tokens(e.combined("subreddit"), c), Q.sql("subreddit", f"SELECT token, round(c.{metric}, 9) AS {metric} FROM combined c WHERE c.{metric} IS NOT NULL ORDER BY c.{metric} DESC, token, entity LIMIT 20"))
+    add("auto_tokens", lambda e: X.auto_tokens(e.combined("subreddit"), 10), Q.sql("subreddit", f"SELECT token FROM (SELECT token, {falling.split(',')[0].split()[0]}, row_number() OVER (ORDER BY {falling}, token, entity) AS n FROM combined) GROUP BY token ORDER BY min(n) LIMIT 10"))
+    add("plot_dates", lambda e: X.plot_dates(rows(e)).select("subreddit", "token", "time_grain", "plot_date", "count_reddit"), Q.sql("subreddit", "SELECT subreddit, token, time_grain, CAST(make_date(year, coalesce(month, 1), 1) AS VARCHAR) AS plot_date, count_reddit FROM plotted", plotted))
+    add("score_export", lambda e: X.score_rows(e.token_scores("global")), Q.sql("global", ranked.replace("entity AS subreddit, token, ", "").replace("SELECT token, ", "SELECT ")))
+    # the viewers, each in all of its orders, over the tables that they show
+    where = ["post_id", "subreddit", "timestamp"]
+    occurrence = [*where, "year", "month", "week_start_date", "token", "surface", "token_start", "token_end"]
+    tags = "true AS is_slang_candidate, 'spiking' AS candidate_type, 'global' AS candidate_mode, 'monthly' AS spike_time_grain"
+    one = "one AS (SELECT t.*, c.* EXCLUDE (entity, token) FROM tokens t JOIN spiking_monthly c ON c.token = t.token)"
+    entity = lambda cols: ", ".join(cols).replace("subreddit", "entity AS subreddit", 1).replace("corpus", "entity AS corpus", 1)
+    tables: dict[str, tuple[Callable[[Engine], DataFrame], str, list[str], str | None, str, list[str]]] = {
+        "clean_posts": (lambda e: e.posts, "global", [*where, "year", "month", "week_start_date", "body", "score"], post, "posts", []),
+        "tokens": (lambda e: e.tokens, "global", occurrence, Q.TOKEN_COLUMNS, "tokens", []),
+        "clean_stats": (lambda e: e.clean, "global", ["token", "count_clean", "total_clean_tokens", "p_clean"], None, "clean", []),
+        "stats": (lambda e: e.stats("monthly", "global"), "global", ["corpus", "year", "month", "token", "count_reddit", "total_tokens", "p_reddit"], None, "st_monthly", []),
+        "clean_ratio": (lambda e: e.ratio("subreddit"), "subreddit", ["subreddit", *Q.names("ratio")], None, "ratio", []),
+        "spikes": (lambda e: e.spikes("monthly", "subreddit"), "subreddit", ["subreddit", "year", "month", *Q.names("spike")], None, "spike_monthly", []),
+        "candidates": (lambda e: e.spiking("monthly", "subreddit"), "subreddit", ["subreddit", *Q.names("spiking")], None, "spiking_monthly", []),
+        "combined": (lambda e: e.combined("subreddit"), "subreddit", ["subreddit", *Q.names("combined")], None, "combined", []),
+        "token_scores": (lambda e: e.token_scores("subreddit", replace(SMALL, rank_top_k=0)), "subreddit", ["subreddit", "token", "slang_score"], "entity AS subreddit, token, raw AS slang_score", "raws", []),
+        "occurrences": (lambda e: e.occurrences("global", kind="spiking", grain="monthly"), "global", [*occurrence, "is_slang_candidate", "candidate_type", "candidate_mode", "spike_time_grain", *Q.names("one_meta")], f"{Q.TOKEN_COLUMNS}, {tags}, {', '.join(Q.names('one_meta'))}", "one", [one]),
+        "bert_inputs": (lambda e: e.bert_inputs("global"), "global", [*where, "token", "token_start", "token_end", "full_text", "is_slang_candidate"], f"{bert}, true AS is_slang_candidate", f"found {text}", [found]),
+    }
+    for name, (build, mode, columns, select, source, more) in tables.items():
+        for sort, order in X.PREVIEWS[name].items():
+            label = f"preview_{name}" + ("" if sort == "default" else f"_by_{sort}")
+            add(label, lambda e, b=build, o=order: X.preview(b(e), o), Q.preview(mode, columns, select or entity(columns), source, order, *more))
     add_raw("json_extract", lambda s, d: R.extract_links(table(s, d, "events").withColumn("j", F.concat(F.lit('{"a":{"Page_URL":"http://x/'), "event_type", F.lit('","url":" "},"Hashtags":[{"text":"'), "event_type", F.lit('","url":"no"},{}],"b":['), "props", F.lit("]}"))), "j", ["event_id"]).select("event_id", F.concat_ws(",", "extracted_urls").alias("urls"), F.concat_ws(",", "extracted_hashtags").alias("tags")), "SELECT event_id, 'http://x/' || event_type AS urls, event_type AS tags FROM events")
     add_raw("json_merge", lambda s, d: R.merge_links(R.extract_links(table(s, d, "events").withColumn("j", F.to_json(F.struct(F.col("event_type").alias("source_url"), F.array(F.struct(F.lit("t").alias("text"))).alias("hashtags")))), "j", ["event_id"])), "SELECT DISTINCT 'extracted_urls' AS kind, event_type AS value FROM events WHERE trim(event_type) <> '' UNION SELECT 'extracted_hashtags', 't' FROM events")
     add_raw("first_seen_dedupe", lambda s, d: R.first_names(table(s, d, "documents").select(F.col("doc_id").alias("line"), F.concat(F.lit("reddit/subreddits25/"), F.upper("source"), F.when(F.col("doc_id") % 2 == 0, "_comments.zst").otherwise("_submissions.zst")).alias("path"))), "SELECT lower(source) AS name, min(doc_id) AS line FROM documents GROUP BY 1")

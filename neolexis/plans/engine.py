@@ -1,75 +1,89 @@
-"""All stages over one corpus, each a lazily built plan."""
+"""All stages over one corpus: the small ones written once as shared tables, those of token grain lazy."""
 
 from __future__ import annotations
 
-from functools import cached_property, lru_cache
+from collections.abc import Callable
+from functools import cached_property
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..config import Params, Scope
+from ..functions.text import tokens_of
 from ..operators import candidates as C
 from ..operators import stats as S
 from ..operators.posts import tokenize
+from ..sources.scratch import Scratch
 
 
 class Engine:
-    """Stages as attributes and methods; nothing runs until a result is read.
+    """Stages as attributes and methods.
 
-    The monthly base is the only thing that many stages share; `persist` keeps it on disk between them.
+    Tables of distinct tokens (base, statistics, ratios, spikes, candidates) are written to the shared folder when
+    first asked for, and read by every later stage: each plan stays as short as its own stage. Occurrences of
+    tokens are many times larger than the texts and are formed anew where a result needs them.
     """
 
     def __init__(self, posts: DataFrame, clean_texts: DataFrame, params: Params = Params(), lexicons: list[DataFrame] = ()):  # noqa: B008
         self.posts, self.clean_texts, self.params, self.lexicons = posts, clean_texts, params, list(lexicons)
-        for name in ("stats", "ratio", "broad", "spikes", "candidates", "spiking", "combined"):
-            setattr(self, name, lru_cache(None)(getattr(self, f"_{name}")))
+        self.scratch = Scratch(posts.sparkSession)
+        self._tables: dict[tuple, DataFrame] = {}
+
+    def _once(self, key: tuple, build: Callable[[], DataFrame]) -> DataFrame:
+        if key not in self._tables:
+            self._tables[key] = self.scratch.save(build(), "_".join(key))
+        return self._tables[key]
+
+    def forget(self) -> None:
+        """Delete what was written."""
+        for df in self._tables.values():
+            self.scratch.drop(df)
+        self._tables = {}
 
     @cached_property
     def tokens(self) -> DataFrame:
         return tokenize(self.posts)
 
-    @cached_property
+    @property
     def base(self) -> DataFrame:
-        # offsets play no part in counts: the optimizer drops the unused columns, but not the work of the
-        # generators, so counting starts from plain tokens
-        from pyspark.sql import functions as F
-
-        from ..functions.text import tokens_of
-
-        return S.monthly_base(self.posts.select("subreddit", "year", "month", F.explode(tokens_of(F.col("body"))).alias("token")), self.params)
+        # counting needs no offsets, so it starts from plain tokens and stays in the JVM
+        plain = self.posts.select("subreddit", "year", "month", F.explode(tokens_of(F.col("body"))).alias("token"))
+        return self._once(("base",), lambda: S.monthly_base(plain, self.params))
 
-    def persist(self) -> Engine:
-        from pyspark import StorageLevel
-
-        self.base.persist(StorageLevel.DISK_ONLY)
-        return self
-
-    @cached_property
+    @property
     def clean(self) -> DataFrame:
-        return S.clean_stats(self.clean_texts)
+        return self._once(("clean",), lambda: S.clean_stats(self.clean_texts))
 
-    def _stats(self, grain: str, mode: str) -> DataFrame:
-        return S.token_stats(self.base, grain, Scope(mode))
+    def stats(self, grain: str, mode: str) -> DataFrame:
+        return self._once(("stats", grain, mode), lambda: S.token_stats(self.base, grain, Scope(mode)))
 
-    def _ratio(self, mode: str) -> DataFrame:
-        return S.clean_ratio(self.stats("all_time", mode), self.clean, Scope(mode))
+    def ratio(self, mode: str) -> DataFrame:
+        return self._once(("ratio", mode), lambda: S.clean_ratio(self.stats("all_time", mode), self.clean, Scope(mode)))
 
-    def _broad(self, mode: str) -> DataFrame:
+    def broad(self, mode: str) -> DataFrame:
         return S.broad_candidates(self.ratio(mode), self.params, Scope(mode))
 
-    def _spikes(self, grain: str, mode: str) -> DataFrame:
-        return S.spike_scores(self.stats(grain, mode), self.broad(mode), self.params, Scope(mode), grain)
+    def spikes(self, grain: str, mode: str) -> DataFrame:
+        return self._once(("spikes", grain, mode), lambda: S.spike_scores(self.stats(grain, mode), self.broad(mode), self.params, Scope(mode), grain))
+
+    def candidates(self, mode: str) -> DataFrame:
+        return self._once(("candidates", mode), lambda: C.clean_ratio_candidates(self.ratio(mode), self.params, Scope(mode), self.lexicons))
+
+    def spiking(self, grain: str, mode: str) -> DataFrame:
+        return self._once(("spiking", grain, mode), lambda: C.spiking_candidates(self.candidates(mode), self.spikes(grain, mode), self.params, Scope(mode)))
 
-    def _candidates(self, mode: str) -> DataFrame:
-        return C.clean_ratio_candidates(self.ratio(mode), self.params, Scope(mode), self.lexicons)
+    def combined(self, mode: str) -> DataFrame:
+        return self._once(("combined", mode), lambda: C.combined_candidates(self.spiking("monthly", mode), self.spiking("yearly", mode), Scope(mode)))
 
-    def _spiking(self, grain: str, mode: str) -> DataFrame:
-        return C.spiking_candidates(self.candidates(mode), self.spikes(grain, mode), self.params, Scope(mode))
+    def of_type(self, kind: str, mode: str, grain: str | None = None) -> DataFrame:
+        """Candidates of a type: clean_ratio, spiking (of a grain) or spiking_combined."""
+        return self.candidates(mode) if kind == "clean_ratio" else self.spiking(grain, mode) if kind == "spiking" else self.combined(mode)
 
-    def _combined(self, mode: str) -> DataFrame:
-        return C.combined_candidates(self.spiking("monthly", mode), self.spiking("yearly", mode), Scope(mode))
+    def occurrences(self, mode: str, full_text: bool = False, kind: str = "spiking_combined", grain: str | None = None) -> DataFrame:
+        return C.occurrences(self.tokens, self.of_type(kind, mode, grain), Scope(mode), kind, grain, posts=self.posts if full_text else None)
 
-    def occurrences(self, mode: str, full_text: bool = False) -> DataFrame:
-        return C.occurrences(self.tokens, self.combined(mode), Scope(mode), "spiking_combined", posts=self.posts if full_text else None)
+    def bert_inputs(self, mode: str, kind: str = "spiking_combined", grain: str | None = None) -> DataFrame:
+        return C.bert_inputs(self.tokens, self.of_type(kind, mode, grain), self.posts, Scope(mode))
 
     def token_scores(self, mode: str, params: Params | None = None) -> DataFrame:
         return C.token_scores(self.ratio(mode), self.spikes("monthly", mode), self.spikes("yearly", mode), params or self.params, Scope(mode), self.lexicons)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from ..config import SMALL
 
 LEXICON = ["the", "and", "stupid", "idiot", "moron"]
@@ -24,6 +26,7 @@ _COLUMNS = {
     "spiking": ["token", *_SHARED, "is_slang_candidate_clean_ratio", *_FLAGS, "max_spike_score", "num_spike_periods", "is_slang_candidate_clean_ratio_spiking"],
     "combined": ["token", *_META, "is_slang_candidate_clean_ratio_spiking_combined"],
     "meta": _META,
+    "cand_meta": _SHARED,
     "one_meta": [*_SHARED, "max_spike_score", "num_spike_periods"],
     "features": [c for c in _META[:-1] if not c.startswith("has_")],
 }
@@ -40,6 +43,22 @@ def rounded(kind: str) -> str:
     return ", ".join(out)
 
 
+def names(kind: str) -> list[str]:
+    return list(_COLUMNS[kind])
+
+
+_TIES = ["token", "subreddit", "corpus", "year", "month", "post_id", "token_start"]
+
+
+def preview(mode: str, names: list[str], columns: str, source: str, order: list[tuple[str, bool]], *more: str) -> str:
+    """First rows of a table by (column, falling) pairs and then by whatever tells rows apart; rounded after sorting."""
+    keys = [(c, d) for c, d in order if c in names]
+    keys += [(c, False) for c in _TIES if c in names and c not in dict(keys)]
+    by = ", ".join(f"{c} {'DESC' if d else 'ASC'} NULLS LAST" for c, d in keys)
+    out = ", ".join(f"round({c}, 9) AS {c}" if _double(c) else c for c in names)
+    return sql(mode, f"SELECT {out} FROM (SELECT * FROM (SELECT {columns} FROM {source}) ORDER BY {by} LIMIT 20)", *more)
+
+
 def _grain(g: str) -> list[str]:
     time = {"monthly": "year, month", "yearly": "year"}[g]
     period = "CAST(year AS VARCHAR) || '-' || lpad(CAST(month AS VARCHAR), 2, '0')" if g == "monthly" else "CAST(year AS VARCHAR)"
@@ -107,8 +126,6 @@ def plotting(entity: str) -> str:
 
 def sql(mode: str, final: str, *more: str) -> str:
     """A query over the chain of CTEs that it needs."""
-    import re
-
     chain = [*_ctes(mode), *more]
     needed, text = [], final
     for cte in reversed(chain):

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -12,10 +14,36 @@ RAW = T.StructType([T.StructField(n, t) for n, t in (("id", T.StringType()), ("s
 
 
 def raw_posts(spark: SparkSession, path: str, schema: T.StructType | None = RAW) -> DataFrame:
-    """JSON lines, compressed or not. With a schema no pass over the data is spent on inferring it."""
+    """JSON lines, compressed or not. With a schema no pass over the data is spent on inferring it.
+
+    Files named .zst need a zstd codec in Hadoop's native library; where it is missing use zstd_posts.
+    """
     return (spark.read.schema(schema) if schema else spark.read).json(path)
 
 
+def zstd_posts(spark: SparkSession, path: str, schema: T.StructType = RAW) -> DataFrame:
+    """JSON lines in zstd files, with long windows as archives have them; a task a file, streamed batch by batch."""
+
+    def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import io
+
+        import zstandard
+
+        for batch in batches:
+            for content in batch.column(0):
+                reader = zstandard.ZstdDecompressor(max_window_size=1 << 31).stream_reader(content.as_py(), read_across_frames=True)
+                text, held = io.TextIOWrapper(reader, encoding="utf-8", errors="replace", newline="\n"), []
+                for line in text:
+                    held.append(line.rstrip("\r\n"))
+                    if len(held) == 10_000:
+                        yield pa.RecordBatch.from_arrays([pa.array(held, pa.string())], names=["value"])
+                        held = []
+                yield pa.RecordBatch.from_arrays([pa.array(held, pa.string())], names=["value"])
+
+    found = spark.read.format("binaryFile").load(path).select("content").mapInArrow(lines, "value string")
+    return found.where(F.trim("value") != "").select(F.from_json("value", schema).alias("r")).select("r.*")
+
+
 def table(spark: SparkSession, out_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{out_dir.rstrip('/')}/{name}")
 
@@ -54,7 +82,17 @@ def size_path_lines(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("line", parts[0].alias("size"), parts[1].alias("path"))
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path, or anything that a pattern stands for, is there."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = p.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(p)
+    return found is not None and len(found) > 0
+
+
 def json_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Lines that aren't blank; of a missing file none."""
+    if not exists(spark, path):
+        return spark.createDataFrame([], "value string")
     return spark.read.text(path).where(F.trim("value") != "")
 
 

@@ -126,21 +126,102 @@ def test_histogram_and_previews(spark):
     scores = spark.createDataFrame([(0.0,), (1.0,), (0.999,), (0.5,), (1.5,), (None,), (float("nan"),)], "slang_score double")
     assert {r.bin: r.n for r in E.score_histogram(scores).collect()} == {0: 1, 49: 2, 25: 1}
     assert [r[0] for r in E.preview(spark.range(5), [("nope", True), ("id", True)], 2).collect()] == [4, 3]
+    assert len(E.PREVIEWS) == 11
+
+
+def test_ranks_of_tied_scores_have_no_hot_part(spark):
+    from neolexis.operators import ranks
+
+    n = 20_000
+    rows = spark.range(n).select(F.format_string("t%06d", F.col("id")).alias("token"), F.when(F.col("id") % 10 == 0, F.rand(1)).otherwise(0.25).alias("power")).repartition(8)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        out = ranks.global_rank(rows, [F.desc("power"), "token"], "rank")
+        got = out.collect()
+        parts = [r["count"] for r in ranks.in_parts(rows, [F.desc("power"), "token"]).groupBy("_part").count().collect()]
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    want = sorted(((-r.power, r.token) for r in got))
+    assert [(-r.power, r.token) for r in sorted(got, key=lambda r: r.rank)] == want and sorted(r.rank for r in got) == list(range(1, n + 1))
+    assert len(parts) == 4 and max(parts) < 2 * n / 4
+    assert ranks.global_rank(rows.limit(0), ["token"], "rank").count() == 0
+
+
+def test_weekly_sample_has_its_cap(spark):
+    posts = spark.range(900).select(F.col("id").cast("string").alias("post_id"), F.expr("date'2020-01-06' + cast(7 * (id % 9) as int)").alias("week_start_date"))
+    out = P.sample_posts_by_week(posts, 90)
+    assert 60 < out.count() <= 90 and P.weeks(out).count() == 9
+    assert P.sample_posts_by_week(posts, 5000).count() == 900
+    assert sorted(map(str, out.collect())) == sorted(map(str, P.sample_posts_by_week(posts.repartition(5), 90).collect()))
+    with pytest.raises(ValueError):
+        P.sample_posts_by_week(posts, 0)
+
+
+def test_top_tables(spark):
+    rows = spark.createDataFrame([("s", "a", 3.0, None, 1.0), ("s", "b", 5.0, 2.0, None), ("t", "b", 4.0, 9.0, None), ("t", "c", 5.0, None, float("nan"))], "subreddit string, token string, clean_ratio_score double, max_spike_score_monthly double, max_spike_score_yearly double")
+    assert [tuple(r) for r in E.top_tokens(rows, "max_spike_score_monthly", 5).collect()] == [("b", 9.0), ("b", 2.0)]
+    assert [tuple(r) for r in E.top_tokens(rows, "max_spike_score_yearly", 5).collect()] == [("a", 1.0)]
+    assert [r.token for r in E.auto_tokens(rows, 2).collect()] == ["b", "c"]
+    assert [(r.subreddit, r.token) for r in E.candidate_summary(rows, 1).collect()] == [("s", "b"), ("t", "c"), ("t", "b"), ("s", "a")]
+    dates = spark.createDataFrame([("monthly", 2020, 5), ("monthly", 2020, None), ("yearly", 2021, 7)], "time_grain string, year int, month int")
+    assert sorted(str(r.plot_date) for r in E.plot_dates(dates).collect()) == ["2020-01-01", "2020-05-01", "2021-01-01"]
+
+
+def test_readers_of_files(spark, tmp_path):
+    import zstandard
+
+    lines = [json.dumps({"id": str(i), "subreddit": "s", "created_utc": "1577836800", "body": f"é {i}", "score": i}) for i in range(25)]
+    (tmp_path / "raw.zst").write_bytes(zstandard.compress("\n".join(lines[:20]).encode()) + zstandard.compress(("\n" + "\n\n".join(lines[20:])).encode()))
+    got = readers.zstd_posts(spark, f"{tmp_path}/raw.zst").collect()
+    assert sorted(int(r.id) for r in got) == list(range(25)) and got[3].body.startswith("é ")
+    assert readers.json_lines(spark, f"{tmp_path}/none.json").count() == 0
+    (tmp_path / "lines.json").write_text('{"a": 1}\n\n  \n{"b": 2}\n')
+    assert readers.json_lines(spark, f"{tmp_path}/lines.json").count() == 2
+    (tmp_path / "words.txt").write_text("foo\n\nbar\nfoo\n two words\n")
+    assert sorted(r.token for r in readers.lexicon(spark, f"{tmp_path}/words.txt").collect()) == [" two words", "bar", "foo"]
+    (tmp_path / "names.txt").write_text("10\treddit/subreddits25/Abc_comments.zst\n\n7\tx_submissions.zst\n")
+    assert [(r.size, r.path) for r in readers.size_path_lines(spark, f"{tmp_path}/names.txt").orderBy("line").collect()] == [("10", "reddit/subreddits25/Abc_comments.zst"), ("7", "x_submissions.zst")]
+    a = readers.shuffled_corpus(spark.range(500), 50).collect()
+    assert a == readers.shuffled_corpus(spark.range(500).repartition(7), 50).collect() and len({r.id for r in a}) == 50
+
+
+def test_a_cluster_without_a_shared_folder_is_refused():
+    from types import SimpleNamespace
+
+    from neolexis.sources import scratch
+
+    none = SimpleNamespace(get=lambda *a: None)
+    session = SimpleNamespace(conf=none, sparkContext=SimpleNamespace(master="spark://h:7077", getConf=lambda: none))
+    with pytest.raises(RuntimeError):
+        scratch.shared_dir(session)
 
 
 def test_command_line(spark, tmp_path):
     from neolexis import cli
 
-    raw = [{"id": str(i), "subreddit": "s", "created_utc": str(1577836800 + 86400 * 31 * (i % 8)), "body": "brandnew word " * (1 + 5 * (i % 8 == 7)), "score": 1} for i in range(80)]
+    raw = [{"id": str(i), "subreddit": "s", "created_utc": str(1577836800 + 86400 * 31 * (i % 20)), "body": "brandnew word " * (1 + 5 * (i % 20 == 19)), "score": 1} for i in range(80)]
     (tmp_path / "raw.json").write_text("\n".join(map(json.dumps, raw)))
+    (tmp_path / "records.json").write_text(json.dumps({"url": "u", "hashtags": [{"text": "t"}]}) + "\n")
+    (tmp_path / "names.txt").write_text("1\tB_comments.zst\n2\ta_comments.zst\n3\tb_submissions.zst\n")
     spark.createDataFrame([("word word the",)], "text string").write.parquet(f"{tmp_path}/clean")
     config = tmp_path / "c.json"
-    config.write_text(json.dumps({"paths": {"out_dir": f"{tmp_path}/out", "raw_posts": f"{tmp_path}/raw.json", "clean_corpus": f"{tmp_path}/clean"}, "params": {"min_token_count": 1, "min_period_count": 1, "min_baseline_total_tokens": 1, "min_spike_score": -1.0, "min_clean_ratio_score": 1.0}}))
+    config.write_text(json.dumps({"paths": {"out_dir": f"{tmp_path}/out", "raw_posts": f"{tmp_path}/raw.json", "clean_corpus": f"{tmp_path}/clean", "records": f"{tmp_path}/records.json", "names": f"{tmp_path}/names.txt"}, "params": {"min_token_count": 1, "min_period_count": 1, "min_baseline_total_tokens": 1, "min_spike_score": -1.0, "min_clean_ratio_score": 1.0, "min_baseline_periods": 1}}))
     run = lambda stage, *more: cli.main(["--config", str(config), "--stage", stage, *more], spark)
-    for stage in ("clean_posts", "tokens", "stats", "clean_stats", "clean_ratio", "spikes", "candidates", "combined", "occurrences", "bert_inputs", "scores", "occurrence_scores", "plotting"):
-        assert run(stage).count() > 0 or stage in ("spikes", "candidates", "combined", "occurrences", "bert_inputs", "plotting"), stage
+    for stage in ("clean_posts", "sample_posts", "tokens", "stats", "clean_stats", "clean_ratio", "spikes", "candidates", "combined", "occurrences", "bert_inputs", "bert_inputs_all", "scores", "bert_inputs_scored", "occurrence_scores", "plotting", "export_tokens", "export_scores", "label_counts", "distinct_tokens", "inspect_raw", "json_extract", "corpus_parts"):
+        assert run(stage, "--sample-csv", "5").count() > 0, stage
+    for kind in ("clean_ratio", "spiking"):
+        for stage in ("occurrences", "bert_inputs", "export_tokens"):
+            assert run(stage, "--candidate-type", kind, "--include-full-text").count() > 0, (kind, stage)
+    assert [r.name for r in run("dedupe_names").orderBy("line").collect()] == ["b", "a"]
+    assert run("tokens_subset", "--fraction", "0.5").count() > 0 and run("posts_subset", "--fraction", "0.5").count() < 80
     assert run("lookup", "--tokens-json", '["brandnew"]').count() == 1
-    assert run("preview", "--table", "tokens", "--sort", "tokens").count() == 20
+    assert run("preview", "--table", "tokens", "--viewer", "tokens").count() == 20
+    assert run("plot_scores", "--plot-dir", f"{tmp_path}/plots").count() > 0
+    run("plot_candidates", "--plot-dir", f"{tmp_path}/plots")
+    drawn = {p.name for p in (tmp_path / "plots").iterdir()}
+    assert {"scores_subreddit.svg", "spike_profile_counts.svg", "top_clean_ratio_score.svg", "000_monthly.svg"} <= drawn
+    csv = next((tmp_path / "out" / "clean_stats_csv").glob("*.csv")).read_text().splitlines()
+    assert csv[0].startswith("token,count_clean") and csv[1].startswith("word,2")
 
 
 def test_streaming_counts_match_batch(spark, tmp_path):
