@@ -100,8 +100,9 @@ def posts_subset(r: Run) -> DataFrame:
 @stage
 def stats(r: Run) -> DataFrame:
     base = r.write(S.monthly_base(r.tokens(), r.params), "monthly_base")
+    totals = r.write(S.period_totals(base), "period_totals")
     for grain in ("monthly", "yearly", "all_time"):
-        done = r.write(S.token_stats(base, grain, r.scope), f"stats_{grain}_{r.mode}")
+        done = r.write(S.token_stats(base, grain, r.scope, totals), f"stats_{grain}_{r.mode}")
     return done
 
 

@@ -115,10 +115,8 @@ def is_candidate(token: Column, min_len: int = 3, alphabetic_only: bool = False,
     letters = "a-zA-Z" + ("0-9" if allow_numbers and not alphabetic_only else "") + ("_" if allow_underscore and not alphabetic_only else "")
     joints = ("-" if allow_hyphen else "") + ("'" if allow_apostrophe else "")
     form = f"^[{letters}]+([{joints}][{letters}]+)*$" if joints else f"^[{letters}]+$"
-    ok = token.isNotNull() & (F.length(token) >= min_len) & token.rlike(form)
-    if not allow_underscore:
-        ok = ok & ~token.contains("_")
-    return ok if allow_numbers else ok & ~token.rlike("[0-9]")
+    # what isn't allowed isn't in the form's classes either
+    return token.isNotNull() & (F.length(token) >= min_len) & token.rlike(form)
 
 
 def is_gibberish(token: Column, strict: bool = False, laughter: bool = False) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import TIME, Params, Scope
 from ..functions.text import is_candidate, tokens_of
+from ..sources.scratch import Scratch
 
 CORPUS = "reddit"
 
@@ -14,25 +15,34 @@ CORPUS = "reddit"
 def monthly_base(tokens: DataFrame, params: Params) -> DataFrame:
     """subreddit, year, month, token, n (all tokens), candidate: the one shuffle of token occurrences.
 
-    Every grain and scope is summed up from this table. Only distinct tokens meet the candidate patterns.
+    Every grain and scope is summed up from this table, so it should be written once. Only distinct tokens meet
+    the candidate patterns.
     """
     base = tokens.groupBy("subreddit", "year", "month", "token").agg(F.count("*").alias("n"))
     return base.withColumn("candidate", is_candidate(F.col("token"), params.min_len, allow_numbers=params.allow_numbers))
 
 
-def token_stats(base: DataFrame, grain: str, scope: Scope) -> DataFrame:
+def period_totals(base: DataFrame) -> DataFrame:
+    """subreddit, year, month, total_tokens: all tokens, candidates or not; a row for each community and month."""
+    return base.groupBy("subreddit", "year", "month").agg(F.sum("n").alias("total_tokens"))
+
+
+def token_stats(base: DataFrame, grain: str, scope: Scope, totals: DataFrame | None = None) -> DataFrame:
     """entity, period, token, count_reddit, total_tokens, p_reddit.
 
-    Counts are of candidate tokens, totals of all tokens. The totals are sums of a bucket's counts, a table of
-    one row for each bucket.
+    Counts are of candidate tokens, totals of all tokens. The totals are sums of `totals` (period_totals of the
+    base; give a written one to keep it from being formed anew), a table of one row for each bucket. The base has
+    a row for each community, month and token, so at that grain nothing is summed.
     """
-    rows = base if scope.mode == "subreddit" else base.withColumn("corpus", F.lit(CORPUS))
+    rows, small = (df if scope.mode == "subreddit" else df.withColumn("corpus", F.lit(CORPUS)) for df in (base, period_totals(base) if totals is None else totals))
     bucket = [scope.entity, *TIME[grain]]
-    totals = rows.groupBy(*bucket).agg(F.sum("n").alias("total_tokens"))
-    # a filter before the sum would be pushed below the base's shuffle, and make it another one for every use;
-    # like this all grains and both sides of the join reuse a single shuffle
-    counts = rows.groupBy(*bucket, "token").agg(F.sum(F.when(F.col("candidate"), F.col("n"))).alias("count_reddit")).where("count_reddit is not null")
-    return counts.join(totals, bucket).select(*bucket, "token", "count_reddit", "total_tokens", (F.col("count_reddit") / F.col("total_tokens")).alias("p_reddit"))
+    counts = rows.where("candidate")
+    if scope.mode == "subreddit" and grain == "monthly":
+        counts = counts.select(*bucket, "token", F.col("n").alias("count_reddit"))
+    else:
+        counts = counts.groupBy(*bucket, "token").agg(F.sum("n").alias("count_reddit"))
+    small = small.groupBy(*bucket).agg(F.sum("total_tokens").alias("total_tokens"))
+    return counts.join(small, bucket).select(*bucket, "token", "count_reddit", "total_tokens", (F.col("count_reddit") / F.col("total_tokens")).alias("p_reddit"))
 
 
 def clean_stats(texts: DataFrame, text_col: str = "text") -> DataFrame:
@@ -71,10 +81,12 @@ def spike_scores(stats: DataFrame, candidates: DataFrame, params: Params, scope:
     if params.min_period_count < 1:
         raise ValueError("min_period_count must be at least 1")
     time, n = TIME[grain], params.window(grain)
-    numbered = stats.select(*time).distinct().withColumn("_at", F.row_number().over(Window.orderBy(*time)))
-    buckets = stats.groupBy(scope.entity, *time).agg(F.max("total_tokens").alias("_t")).join(numbered, time)
+    buckets = stats.groupBy(scope.entity, *time).agg(F.max("total_tokens").alias("_t"))
+    numbered = buckets.select(*time).distinct().withColumn("_at", F.row_number().over(Window.orderBy(*time)))
     before = Window.partitionBy(scope.entity).orderBy("_at").rangeBetween(-n, -1)
-    totals = buckets.select(scope.entity, *time, "_at", F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("baseline_total_tokens"), F.coalesce(F.sum((F.col("_t") > 0).cast("long")).over(before), F.lit(0)).alias("baseline_periods"))
+    totals = buckets.join(numbered, time).select(scope.entity, *time, "_at", F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("baseline_total_tokens"), F.coalesce(F.sum((F.col("_t") > 0).cast("long")).over(before), F.lit(0)).alias("baseline_periods"))
+    # written: by its size on disk Spark sees whether it can be broadcast
+    totals = Scratch(stats.sparkSession).save(totals, "totals")
     rows = stats.join(candidates, scope.keys).join(totals, [scope.entity, *time])
     same = Window.partitionBy(*scope.keys).orderBy("_at").rangeBetween(-n, -1)
     rows = rows.withColumn("baseline_count_reddit", F.coalesce(F.sum("count_reddit").over(same), F.lit(0)))

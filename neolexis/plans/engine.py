@@ -50,12 +50,16 @@ class Engine:
         plain = self.posts.select("subreddit", "year", "month", F.explode(tokens_of(F.col("body"))).alias("token"))
         return self._once(("base",), lambda: S.monthly_base(plain, self.params))
 
+    @property
+    def totals(self) -> DataFrame:
+        return self._once(("totals",), lambda: S.period_totals(self.base))
+
     @property
     def clean(self) -> DataFrame:
         return self._once(("clean",), lambda: S.clean_stats(self.clean_texts))
 
     def stats(self, grain: str, mode: str) -> DataFrame:
-        return self._once(("stats", grain, mode), lambda: S.token_stats(self.base, grain, Scope(mode)))
+        return self._once(("stats", grain, mode), lambda: S.token_stats(self.base, grain, Scope(mode), self.totals))
 
     def ratio(self, mode: str) -> DataFrame:
         return self._once(("ratio", mode), lambda: S.clean_ratio(self.stats("all_time", mode), self.clean, Scope(mode)))
