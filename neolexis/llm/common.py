@@ -1,72 +1,16 @@
-"""What the training-data operators share: scratch tables, word splitting, prefix sums over sorted rows."""
+"""What the training-data operators share: scratch tables (from the library), word splitting, prefix sums over sorted rows."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: The white space that separates words, as a Java/RE2/Python character class body.
-SPACE = r"\x20\x09-\x0D"
-
-_roots: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or in tests a temporary one."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if "own" not in _roots:
-        _roots["own"] = tempfile.mkdtemp(prefix="neolexis-")
-        spark.sparkContext.setCheckpointDir(_roots["own"])
-    return "file://" + _roots["own"]
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path below the shared folder; it is deleted when the driver ends."""
-    path = f"{shared_dir(spark)}/neolexis-{uuid.uuid4().hex}/{name}"
-    atexit.register(_quietly_remove, spark, path.rsplit("/", 1)[0])
-    return path
-
+from ..sources.scratch import Scratch, remove, scratch_path, shared_dir
 
-def _quietly_remove(spark: SparkSession, path: str) -> None:
-    try:
-        remove(spark, path)
-    except Exception:  # noqa: BLE001 - the session may be gone by then
-        pass
+__all__ = ["SPACE", "Scratch", "remove", "running_before", "scratch_path", "shared_dir", "word_count"]
 
-
-def remove(spark: SparkSession, path: str) -> None:
-    jvm = spark._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-
-
-class Scratch:
-    """Written tables in the shared folder: they cut lineage and survive lost executors."""
-
-    def __init__(self, spark: SparkSession):
-        self.spark = spark
-        self.paths: dict[int, str] = {}
-
-    def save(self, df: DataFrame, name: str) -> DataFrame:
-        path = scratch_path(self.spark, name)
-        df.write.parquet(path)
-        # what the written plan shuffled is of no use any more, but Spark deletes shuffle files only when the
-        # driver's garbage collector finds the plan unreachable
-        self.spark._jvm.System.gc()
-        out = self.spark.read.schema(df.schema).parquet(path)
-        self.paths[id(out)] = path.rsplit("/", 1)[0]
-        return out
-
-    def drop(self, df: DataFrame) -> None:
-        """Delete a saved table that nothing reads any more."""
-        if path := self.paths.pop(id(df), None):
-            remove(self.spark, path)
+#: The white space that separates words, as a Java/RE2/Python character class body.
+SPACE = r"\x20\x09-\x0D"
 
 
 def word_count(text: Column) -> Column:

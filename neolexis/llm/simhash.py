@@ -1,6 +1,7 @@
 """SimHash near-duplicates by pivot distance tables.
 
-A fingerprint's pivot distances are its Hamming distances to fixed reference fingerprints. If two fingerprints
+A fingerprint's pivot distances are its Hamming distances to fixed reference fingerprints. They are computed
+once for each distinct fingerprint and stored as a column beside it (pivot_table). If two fingerprints
 differ in at most r bits, no distance differs by more than r (triangle inequality): pairs with a larger
 coordinate difference are discarded, and survivors are verified on the fingerprints themselves.
 
@@ -121,6 +122,34 @@ def _distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(a ^ b).sum(-1, dtype=np.int16)
 
 
+def pivot_distances(prints: np.ndarray) -> np.ndarray:
+    """Rows x references (uint8): distances of fingerprints (rows x words). One of 256 counts as 255, which only shrinks differences."""
+    return np.stack([np.minimum(_distance(prints, r), 255) for r in pivots(prints.shape[1])], 1).astype(np.uint8)
+
+
+def _packed(table: np.ndarray) -> pa.Array:
+    """Rows of bytes as a binary column."""
+    n, width = table.shape
+    return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((np.arange(n + 1) * width).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(table).tobytes())])
+
+
+def _unpacked(column: pa.Array) -> np.ndarray:
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].reshape(len(column), -1) if len(column) else np.zeros((0, 1), np.uint8)
+
+
+def pivot_table(prints: DataFrame, words: int) -> DataFrame:
+    """prints with the column d: the pivot distances of f0, f1, ..., a byte each."""
+    names = prints.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = np.stack([batch.column(names.index(f"f{k}")).to_numpy(zero_copy_only=False) for k in range(words)], 1)
+            yield pa.RecordBatch.from_arrays([*batch.columns, _packed(pivot_distances(np.ascontiguousarray(rows).view(np.uint64)))], names=[*names, "d"])
+
+    return prints.mapInArrow(run, T.StructType([*prints.schema.fields, T.StructField("d", T.BinaryType())]))
+
+
 def _forest(n: int, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Links with the same components, at most n - 1: each node with the first of its component."""
     from numpy import minimum
@@ -140,15 +169,13 @@ def _forest(n: int, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np
 
 
 def _link_runs(batches: Iterator[pa.RecordBatch], words: int, most: int) -> Iterator[pa.RecordBatch]:
-    """From rows sorted by unit: the links within each unit, as a forest. Holds one unit and one batch."""
-    refs = pivots(words)
+    """From rows sorted by unit, with their pivot distances: the links within each unit, as a forest. Holds one unit and one batch."""
     names = ["unit", "id", *(f"f{k}" for k in range(words))]
-    rest: np.ndarray | None = None
+    rest: tuple[np.ndarray, np.ndarray] | None = None
 
-    def link(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def link(rows: np.ndarray, table: np.ndarray) -> Iterator[pa.RecordBatch]:
         unit, ids = rows[:, 0], rows[:, 1]
-        prints = np.ascontiguousarray(rows[:, 2:]).view(np.uint64)
-        table = np.stack([_distance(prints, r) for r in refs], 1).astype(np.int8 if words == 1 else np.int16)
+        prints, table = np.ascontiguousarray(rows[:, 2:]).view(np.uint64), table.astype(np.int16)
         found_a, found_b = [], []
         live = np.arange(len(rows))
         for step in range(1, len(rows)):
@@ -157,7 +184,7 @@ def _link_runs(batches: Iterator[pa.RecordBatch], words: int, most: int) -> Iter
             if not len(live):
                 break
             a = live
-            for c in range(len(refs)):  # coordinate by coordinate: most pairs fail early
+            for c in range(table.shape[1]):  # coordinate by coordinate: most pairs fail early
                 a = a[np.abs(table[a, c] - table[a + step, c]) <= most]
                 if not len(a):
                     break
@@ -170,13 +197,17 @@ def _link_runs(batches: Iterator[pa.RecordBatch], words: int, most: int) -> Iter
             yield pa.RecordBatch.from_arrays([pa.array(ids[a]), pa.array(ids[b])], names=["a", "b"])
 
     for batch in batches:
+        if not batch.num_rows:
+            continue
         rows = np.stack([batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in names], 1)
-        rows = rows if rest is None else np.concatenate([rest, rows])
-        cut = int(np.searchsorted(rows[:, 0], rows[-1, 0])) if len(rows) else 0  # the last unit may go on
-        yield from link(rows[:cut])
-        rest = rows[cut:]
+        table = _unpacked(batch.column(batch.schema.get_field_index("d")))
+        if rest is not None:
+            rows, table = np.concatenate([rest[0], rows]), np.concatenate([rest[1], table])
+        cut = int(np.searchsorted(rows[:, 0], rows[-1, 0]))  # the last unit may go on
+        yield from link(rows[:cut], table[:cut])
+        rest = rows[cut:], table[cut:]
     if rest is not None:
-        yield from link(rest)
+        yield from link(*rest)
 
 
 def _units(sized: DataFrame, cols: list[str], block: int) -> DataFrame:
@@ -191,17 +222,18 @@ def _units(sized: DataFrame, cols: list[str], block: int) -> DataFrame:
     return units.repartition("unit").sortWithinPartitions("unit")
 
 
-def link_fingerprints(prints: DataFrame, masks: list[list[int]], most: int, words: int, scratch: Scratch, refine: list[list[int]] | None = None) -> DataFrame:
+def link_fingerprints(prints: DataFrame, masks: list[list[int]], most: int, words: int, scratch: Scratch) -> DataFrame:
     """Links a, b (ids) with the components of all pairs that share a masked fingerprint and differ in at most `most` bits.
 
-    prints: id, f0, f1, ...; ids and fingerprints distinct, in the shared folder. Within a table a bucket of up
-    to BLOCK fingerprints is one unit. A larger one is cut into chunks of about BLOCK / 2, and each pair of
-    chunks is a unit: no task gets an unbounded group, and nothing is left out.
+    prints: id, f0, f1, ..., d (their pivot distances); ids and fingerprints distinct, in the shared folder.
+    Within a table a bucket of up to BLOCK fingerprints is one unit. A larger one is cut into chunks of about
+    BLOCK / 2, and each pair of chunks is a unit: no task gets an unbounded group, and nothing is left out.
     """
     cols = [f"f{k}" for k in range(words)]
-    keyed = prints.select("id", *cols, F.explode(F.array(*[F.xxhash64(F.lit(t), *[F.col(c).bitwiseAND(F.lit(_signed(m))) for c, m in zip(cols, mask)]) for t, mask in enumerate(masks)])).alias("key"))
-    counts = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    return _units(keyed.join(counts, "key"), cols, BLOCK).mapInArrow(lambda batches: _link_runs(batches, words, most), "a long, b long").distinct()
+    keyed = prints.select("id", *cols, "d", F.explode(F.array(*[F.xxhash64(F.lit(t), *[F.col(c).bitwiseAND(F.lit(_signed(m))) for c, m in zip(cols, mask)]) for t, mask in enumerate(masks)])).alias("key"))
+    # written first: a join with it can then be split where a key is hot
+    counts = scratch.save(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "counts")
+    return _units(keyed.join(counts, "key"), [*cols, "d"], BLOCK).mapInArrow(lambda batches: _link_runs(batches, words, most), "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, most: int = 4, words: int = 1, masks: list[list[int]] | None = None, carry: list[str] = ()) -> DataFrame:
@@ -219,13 +251,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = scratch.save(fingerprints(named, ["doc", *carried], "body", shingle, words), "fingerprints")
     # a class's id is a hash of its fingerprint: for one word the fingerprint itself, which is unique
     class_id = F.col("f0") if words == 1 else F.xxhash64(*cols)
-    classes = scratch.save(rows.groupBy(*cols).agg(F.min("doc").alias("least"), F.count("*").alias("copies")).withColumn("id", class_id), "classes")
-    links = link_fingerprints(classes.select("id", *cols), masks or group_masks(), most, words, scratch)
+    classes = rows.groupBy(*cols).agg(F.min("doc").alias("least"), F.count("*").alias("copies")).withColumn("id", class_id)
+    classes = scratch.save(pivot_table(classes, words), "classes")
+    links = link_fingerprints(classes.select("id", *cols, "d"), masks or group_masks(), most, words, scratch)
     label = components(spark, links, scratch)
     linked = classes.select("id", *cols, "least").join(label.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     linked = scratch.save(linked, "labelled")
-    smallest = linked.groupBy("component").agg(F.min("least").alias("component_id"))
-    of_class = linked.join(smallest, "component").select(*cols, "component_id")
+    # a component or a fingerprint may hold a third of the rows: what joins them is written first, so that Spark can split them
+    smallest = scratch.save(linked.groupBy("component").agg(F.min("least").alias("component_id")), "smallest")
+    of_class = scratch.save(linked.join(smallest, "component").select(*cols, "component_id"), "of_class")
     return rows.join(of_class, cols).select(F.col("doc").alias(id_col), *[F.col(n).alias(c) for c, n in zip(carry, carried)], *cols, "component_id")
 
 
@@ -305,21 +339,21 @@ def similar_documents(docs: DataFrame, id_col: str, print_col: str, text_col: st
                 sets = [np.unique(shingle_hashes(t, shingle)) for t in batch.column(2).to_pylist()]
                 found = [_majority(x, words) for x in sets]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), batch.column(1), pa.array([_signed(xxhash.xxh64_intdigest(x.tobytes())) for x in sets], pa.int64()), *(pa.array([f[k] for f in found], pa.int64()) for k in range(words)), pa.array([prefix(x).view(np.int64) for x in sets], pa.list_(pa.int64()))],
-                    names=["doc", "print", "set", *cols, "keys"],
+                    [batch.column(0), batch.column(1), pa.array([_signed(xxhash.xxh64_intdigest(x.tobytes())) for x in sets], pa.int64()), *(pa.array([f[k] for f in found], pa.int64()) for k in range(words)), _packed(pivot_distances(np.array(found, np.int64).reshape(-1, words).view(np.uint64))), pa.array([prefix(x).view(np.int64) for x in sets], pa.list_(pa.int64()))],
+                    names=["doc", "print", "set", *cols, "d", "keys"],
                 )
 
-    rows = scratch.save(named.mapInArrow(sketch, f"{kinds}, set long, {', '.join(f'{c} long' for c in cols)}, keys array<long>"), "sketches")
+    rows = scratch.save(named.mapInArrow(sketch, f"{kinds}, set long, {', '.join(f'{c} long' for c in cols)}, d binary, keys array<long>"), "sketches")
     keyed = rows.select(F.col("set").alias("id"), F.explode("keys").alias("key"))
     # equal sets have equal keys: count each once
-    first = rows.groupBy("set").agg(F.min(F.struct(F.col("doc").isNull().alias("none"), "doc", "print")).alias("first"), *[F.first(c).alias(c) for c in cols])
-    first = scratch.save(first.select(F.col("set").alias("id"), "first.doc", "first.print", *cols), "sets")
+    first = rows.groupBy("set").agg(F.min(F.struct(F.col("doc").isNull().alias("none"), "doc", "print")).alias("first"), *[F.first(c).alias(c) for c in (*cols, "d")])
+    first = scratch.save(first.select(F.col("set").alias("id"), "first.doc", "first.print", *cols, "d"), "sets")
     keyed = scratch.save(keyed.distinct(), "keys")
-    counts = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    counts = scratch.save(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "counts")
     shared = scratch.save(keyed.join(counts, "key"), "shared")
     scratch.drop(keyed)
-    sized = shared.join(first.select("id", *cols), "id")
-    proposed = scratch.save(_units(sized, cols, BLOCK).mapInArrow(lambda batches: _link_runs(batches, words, most), "a long, b long").distinct(), "proposed")
+    sized = shared.join(first.select("id", *cols, "d"), "id")
+    proposed = scratch.save(_units(sized, [*cols, "d"], BLOCK).mapInArrow(lambda batches: _link_runs(batches, words, most), "a long, b long").distinct(), "proposed")
     scratch.drop(shared)
     loose = components(spark, proposed, scratch).select(F.col("node").alias("id"), F.col("component").alias("key"))
     loose = scratch.save(loose.join(first.select("id", "doc", "print"), "id").select("id", "key", F.col("doc").alias("_doc"), F.col("print").alias("_print")), "loose")
@@ -334,7 +368,7 @@ def similar_documents(docs: DataFrame, id_col: str, print_col: str, text_col: st
     texts = named.join(loose, named["doc"].eqNullSafe(loose["_doc"]) & (named["print"] == loose["_print"])).select("id", "key", "body")
     # of rows equal in id and text one is enough
     sets = scratch.save(texts.groupBy("id", "key").agg(F.first("body").alias("body")).mapInArrow(hashes, "id long, key long, hashes array<long>"), "hashes")
-    sizes = loose.groupBy("key").agg(F.count("*").alias("n"))
+    sizes = scratch.save(loose.groupBy("key").agg(F.count("*").alias("n")), "sizes")
     links = _units(sets.join(sizes, "key"), ["hashes"], SETS).mapInArrow(_alike_runs, "a long, b long")
     label = components(spark, links, scratch).select(F.col("node").alias("set"), "component")
     scratch.drop(sets)

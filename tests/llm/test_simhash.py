@@ -53,6 +53,27 @@ def test_matches_brute_force_with_nulls_ties_and_extra_columns(spark):
     assert {i: r.component_id for i, r in got.items()} == brute(prints, 4)
 
 
+def test_pivot_differences_never_exceed_the_distance():
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    for words in (1, 4):
+        x = rng.integers(0, 1 << 63, (60, words)).astype(np.uint64)
+        x[30:] = x[:30] ^ np.uint64(0b10110)
+        x[0], x[1] = 0, ~np.uint64(0)
+        table = simhash.pivot_distances(x)
+        assert (simhash._unpacked(simhash._packed(table)) == table).all() and (simhash._unpacked(simhash._packed(table).slice(7)) == table[7:]).all()
+        for a in range(60):
+            apart = simhash._distance(x, x[a])
+            assert (np.abs(table.astype(int) - table[a].astype(int)).max(1) <= apart).all()
+
+
+def test_null_ids_and_repeated_rows(spark):
+    docs = spark.createDataFrame([(None, "a b c d e"), (None, "a b c d e"), (4, "A b c d e"), (4, "A b c d e"), (None, "zz yy"), (None, None), (7, "")], "doc_id long, text string")
+    got = sorted((str(r.doc_id), str(r.component_id)) for r in simhash.near_duplicates(docs).collect())
+    assert got == sorted([("None", "4"), ("None", "4"), ("4", "4"), ("4", "4"), ("None", "None"), ("None", "7"), ("7", "7")])
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert simhash.near_duplicates(docs).count() == 0
@@ -67,7 +88,7 @@ def test_hot_bucket_is_cut_and_loses_no_link(spark, monkeypatch):
     prints = {i: p for n, (i, p) in enumerate(prints.items()) if p not in list(prints.values())[:n]}
     df = spark.createDataFrame([(i, simhash._signed(p)) for i, p in prints.items()], "id long, f0 long")
     scratch = simhash.Scratch(spark)
-    links = simhash.link_fingerprints(scratch.save(df, "p"), simhash.group_masks(), 4, 1, scratch)
+    links = simhash.link_fingerprints(scratch.save(simhash.pivot_table(df, 1), "p"), simhash.group_masks(), 4, 1, scratch)
     label = {r.node: r.component for r in simhash.components(spark, links, scratch).collect()}
     want = brute(prints, 4)
     assert {i: label.get(i, i) for i in prints} == want
