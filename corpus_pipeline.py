@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from neolexis.llm.common import SPACE, Scratch, word_count
+from neolexis.llm.common import Scratch, word_count
 from neolexis.llm.mixing import mix, training_order
 from neolexis.llm.packing import pack
 from neolexis.llm.pii import redact
@@ -52,7 +52,11 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row for each use of a document, in training order; a use of part of a document has its first words."""
+    """A row for each use of a document, in training order.
+
+    Texts stay whole: where a source's stream meets its target inside a document, that use is a row if at least
+    half of it lies before the target, and none otherwise, whichever comes nearer.
+    """
     keyed = docs.select(*COLUMNS, F.xxhash64("text").alias("_print"))
     uses = mix(keyed, Scratch(spark), ["doc_id", "_print"])
     # rows equal in id and text share one list of uses each: number them to pair them one to one
@@ -60,9 +64,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     left = number(keyed)
     right = number(uses.where("taken > 0")).select(F.col("doc_id").alias("_id"), F.col("_print").alias("_p"), F.col("_n").alias("_m"), "size", "uses")
     rows = left.join(right, left["doc_id"].eqNullSafe(right["_id"]) & left["_print"].eqNullSafe(right["_p"]) & (left["_n"] == right["_m"]))
-    rows = training_order(rows.select(*COLUMNS, "size", "uses"))
-    part = F.array_join(F.slice(F.filter(F.split("text", f"[{SPACE}]+"), lambda w: w != ""), 1, F.col("words").cast("int")), " ")
-    rows = rows.withColumn("text", F.when(F.col("words") < F.col("size"), part).otherwise(F.col("text")))
+    rows = training_order(rows.select(*COLUMNS, "size", "uses")).where("2 * words >= size")
     return rows.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
