@@ -8,8 +8,9 @@
    evidence by grouped aggregation. A host's rate of faults is a beta-binomial posterior around the global rate,
    a path's one around its host's posterior; the strengths of both priors are estimated from the spread of
    rates between hosts, and between paths of a host, by the method of moments. Sparse sites stay near the prior.
-3. A document's posterior odds are its evidence's odds times its path's odds over the global odds, damped by
-   `site_weight`. It is kept if the posterior probability that it has a fault is below `reject_at`.
+3. A document's posterior odds are its evidence's odds times the odds of its path without it over the global
+   odds, damped by `site_weight`: its own evidence is taken out of its path's and host's sums first, so that it
+   counts once. It is kept if the posterior probability that it has a fault is below `reject_at`.
 """
 
 from __future__ import annotations
@@ -135,8 +136,12 @@ def _ratio(n: str, bad: str, due: str, tag: str) -> list[Column]:
     return [ratio.alias(f"ratio{tag}"), error.alias(f"error{tag}"), odd.alias(f"odd{tag}")]
 
 
-def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang") -> Classifier:
-    """The document classifier. Without labels it finds no fault anywhere."""
+def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang", lexicon: int = LEXICON) -> Classifier:
+    """The document classifier. Without labels it finds no fault anywhere.
+
+    Of the words with significant ratios the `lexicon` most significant of each fault are kept, pooled and of each
+    stratum: a bound on the model that workers load, not on the documents that count.
+    """
     sample = scratch.save(_labelled(docs, labels, id_col, text_col, stratum_col, scratch), "labelled")
     totals = sample.agg(F.count("*").alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("toxic"), F.coalesce(F.sum("poor"), F.lit(0)).alias("poor")).first()
 
@@ -166,14 +171,14 @@ def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch, id_col: str = "doc
         # what the strata's own rates make of a word's documents: a stratum of many faults makes no word of it faulty
         pooled = counted.groupBy("word").agg(F.sum("n").cast("double").alias("n0"), F.sum(fault).cast("double").alias("bad0"), F.sum(F.round(F.col("n") * share, 9).cast("decimal(28,9)")).cast("double").alias("due0"))
         pooled = scratch.save(pooled.where("n0 >= 4 and bad0 >= 4").select("*", *_ratio("n0", "bad0", "due0", "0")), "pooled")
-        counts = pooled.where("ratio0 - 1.5 * error0 > 0.7 and odd0 > 25").orderBy(F.desc("odd0"), "word").limit(LEXICON)
+        counts = pooled.where("ratio0 - 1.5 * error0 > 0.7 and odd0 > 25").orderBy(F.desc("odd0"), "word").limit(lexicon)
         common = {r.word: float(r.ratio0 - 1.5 * r.error0) for r in counts.collect()}
         # a stratum's ratio and that of all others, each by its precision
         rest = own.join(pooled.select("word", "n0", "bad0", "due0"), "word").select("*", *_ratio("n", "bad", "due", "1"), *_ratio("n0 - n", "bad0 - bad", "due0 - due", "2"))
         mine, prior = 1 / F.pow("error1", 2), F.when(F.expr("n0 > n"), 1 / (BETWEEN**2 + F.pow("error2", 2))).otherwise(0.0)
         rest = rest.select("stratum", "word", "odd1", ((mine * F.col("ratio1") + prior * F.col("ratio2")) / (mine + prior) - 1.5 / F.sqrt(mine + prior)).alias("ratio"), F.expr("n >= 4 and bad >= 4 and odd1 > 25").alias("strong"))
         top = F.row_number().over(Window.partitionBy("stratum").orderBy(F.desc("odd1"), "word"))
-        strong = rest.where("strong and ratio > 0.7").withColumn("_row", top).where(F.col("_row") <= LEXICON).select("stratum", "word", "ratio")
+        strong = rest.where("strong and ratio > 0.7").withColumn("_row", top).where(F.col("_row") <= lexicon).select("stratum", "word", "ratio")
         # the stratum's own view of the pooled words
         known = rest.join(F.broadcast(counts.select("word")), "word", "left_semi").select("stratum", "word", "ratio")
         found: dict[str | None, dict[str, float]] = {None: common}
@@ -228,37 +233,50 @@ def _strength(sites: DataFrame, centre: str) -> Column:
     return F.greatest(level / between - 1, F.lit(2.0))
 
 
-def classify(docs: DataFrame, labels: DataFrame, keep: list[str], host_col: str = "source", path_col: str = "lang", id_col: str = "doc_id", text_col: str = "text", reject_at: float = 0.6, site_weight: float = 0.25) -> DataFrame:
+def site_rates(paths: DataFrame) -> DataFrame:
+    """From _host, _path, n, bad (evidence summed): a row a path with the posterior rates, and what they are made of.
+
+    _h, _p, rate (global), host_n, host_bad, host_strength, host_rate, path_n, path_bad, path_strength, path_rate.
+    """
+    hosts = paths.groupBy("_host").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
+    whole = hosts.agg(((F.sum("bad") + 0.5) / (F.sum("n") + 1)).alias("rate"))
+    hosts = hosts.crossJoin(F.broadcast(whole))  # one row
+    hosts = hosts.crossJoin(F.broadcast(hosts.agg(_strength(hosts, "rate").alias("strength"))))  # one row
+    hosts = hosts.select(F.col("_host").alias("_h"), "rate", F.col("n").alias("host_n"), F.col("bad").alias("host_bad"), F.col("strength").alias("host_strength"), ((F.col("bad") + F.col("rate") * F.col("strength")) / (F.col("n") + F.col("strength"))).alias("host_rate"))
+    rows = paths.join(hosts, paths["_host"].eqNullSafe(hosts["_h"]))
+    rows = rows.crossJoin(F.broadcast(rows.agg(_strength(rows, "host_rate").alias("strength"))))  # one row
+    return rows.select(
+        "_h", F.col("_path").alias("_p"), "rate", "host_n", "host_bad", "host_strength", "host_rate", F.col("n").alias("path_n"), F.col("bad").alias("path_bad"), F.col("strength").alias("path_strength"),
+        ((F.col("bad") + F.col("host_rate") * F.col("strength")) / (F.col("n") + F.col("strength"))).alias("path_rate"),
+    )
+
+
+def classify(docs: DataFrame, labels: DataFrame, keep: list[str], host_col: str = "source", path_col: str = "lang", id_col: str = "doc_id", text_col: str = "text", reject_at: float = 0.6, site_weight: float = 0.25, lexicon: int = LEXICON) -> DataFrame:
     """Per row of docs: `keep`, p_toxic, p_poor (document evidence), host_rate, path_rate (posterior rates of
     faults), p_fault (posterior) and kept (boolean).
 
+    `lexicon` bounds the model's size: the words with ratios kept for each fault, pooled and of each language.
     Null hosts and paths are sites of their own; null and empty texts have only the evidence of being empty.
     Equal rows give equal results. Labels with null ids or without values play no part; of repeated labels the
     worse counts. Without labels everything is kept. An empty table gives an empty result.
     """
     scratch = Scratch(docs.sparkSession)
-    model = fit(docs, labels, scratch, id_col, text_col, path_col)
+    model = fit(docs, labels, scratch, id_col, text_col, path_col, lexicon)
     named = docs.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(keep)], F.col(host_col).alias("_host"), F.col(path_col).alias("_path"), F.col(text_col).alias("_body"))
     rows = scratch.save(evidence(named, model, [*(f"_k{i}" for i in range(len(keep))), "_host", "_path"], "_body", "_path"), "evidence")
     # the two faults as independent given the text
     fault = 1 - (1 - F.col("p_toxic")) * (1 - F.col("p_poor"))
     rows = rows.withColumn("_own", F.greatest(F.least(fault, F.lit(1 - 1e-6)), F.lit(1e-6)))
-    paths = rows.groupBy("_host", "_path").agg(F.count("*").alias("n"), F.sum("_own").alias("bad"))
-    paths = scratch.save(paths, "paths")
-    hosts = scratch.save(paths.groupBy("_host").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")), "hosts")
-    whole = hosts.agg(((F.sum("bad") + 0.5) / (F.sum("n") + 1)).alias("rate"))
-    hosts = hosts.crossJoin(F.broadcast(whole))  # one row
-    hosts = hosts.crossJoin(F.broadcast(hosts.agg(_strength(hosts, "rate").alias("strength"))))  # one row
-    hosts = hosts.select(F.col("_host").alias("_h"), "rate", ((F.col("bad") + F.col("rate") * F.col("strength")) / (F.col("n") + F.col("strength"))).alias("host_rate"))
-    paths = paths.join(hosts, paths["_host"].eqNullSafe(hosts["_h"]))
-    paths = paths.crossJoin(F.broadcast(paths.agg(_strength(paths, "host_rate").alias("strength"))))  # one row
-    paths = paths.select(F.col("_h").alias("_h2"), F.col("_path").alias("_p2"), "rate", "host_rate", ((F.col("bad") + F.col("host_rate") * F.col("strength")) / (F.col("n") + F.col("strength"))).alias("path_rate"))
-    paths = scratch.save(paths, "sites")
+    paths = scratch.save(rows.groupBy("_host", "_path").agg(F.count("*").alias("n"), F.sum("_own").alias("bad")), "paths")
+    sites = scratch.save(site_rates(paths), "sites")
     logit = lambda p: F.log(p / (1 - p))
     # a row a site: broadcast only behind this check, joined by shuffle beyond it
-    paths = F.broadcast(paths) if paths.count() <= BROADCAST_SITES else paths
-    out = rows.join(paths, rows["_host"].eqNullSafe(paths["_h2"]) & rows["_path"].eqNullSafe(paths["_p2"]))
-    clip = lambda p: F.greatest(F.least(F.col(p), F.lit(1 - 1e-6)), F.lit(1e-6))
-    odds = logit(F.col("_own")) + F.lit(site_weight) * (logit(clip("path_rate")) - logit(clip("rate")))
+    sites = F.broadcast(sites) if sites.count() <= BROADCAST_SITES else sites
+    out = rows.join(sites, rows["_host"].eqNullSafe(sites["_h"]) & rows["_path"].eqNullSafe(sites["_p"]))
+    clip = lambda p: F.greatest(F.least(p, F.lit(1 - 1e-6)), F.lit(1e-6))
+    own, rate = F.col("_own"), F.col("rate")
+    host = (F.col("host_bad") - own + rate * F.col("host_strength")) / (F.col("host_n") - 1 + F.col("host_strength"))
+    path = (F.col("path_bad") - own + host * F.col("path_strength")) / (F.col("path_n") - 1 + F.col("path_strength"))
+    odds = logit(own) + F.lit(site_weight) * (logit(clip(path)) - logit(clip(rate)))
     out = out.withColumn("p_fault", 1 / (1 + F.exp(-odds)))
     return out.select(*[F.col(f"_k{i}").alias(c) for i, c in enumerate(keep)], "p_toxic", "p_poor", "host_rate", "path_rate", "p_fault", (F.col("p_fault") < reject_at).alias("kept"))

@@ -1,6 +1,8 @@
 import random
 import re
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline as cp
 from neolexis.llm import bilstm_crf, pii
 from neolexis.llm.simhash import text_fingerprint
@@ -110,17 +112,26 @@ def test_personal_data_is_masked(spark):
     assert out[201].text is None
 
 
-def test_mixing_repeats_and_cuts_documents(spark):
+def test_mixing_repeats_whole_documents(spark):
     rows, _ = documents()
-    out = cp.mixing(spark, frame(spark, rows), "").collect()
+    extra = frame(spark, rows).select(F.col("doc_id"), "text", "lang", "source", "n_chars", F.lit("x").alias("words"), F.lit(1).alias("uses"))
+    out = cp.mixing(spark, extra, "").collect()
+    assert sorted(map(str, out)) == sorted(map(str, cp.mixing(spark, extra.repartition(3), "").collect()))
     whole = {}
     for i, t, *_ in rows:
         whole.setdefault(i, set()).add(t)
     total = sum(len((t or "").split()) for _, t, *_ in rows)
-    assert abs(sum(len(r.text.split()) for r in out) - total) <= 4
+    # each of the five sources is off by half a document at most
+    assert abs(sum(len(r.text.split()) for r in out) - total) <= 5 * 200 + 4
+    for r in out:
+        assert r.text in whole[r.doc_id] and r.n_chars == len(r.text)
+    uses = {}
     for r in out:
-        assert any(t and " ".join(t.split()).startswith(" ".join(r.text.split())) for t in whole[r.doc_id])
-        assert r.n_chars == len(r.text)
+        uses[r.doc_id, r.text, r.source] = uses.get((r.doc_id, r.text, r.source), 0) + 1
+    copies = {}
+    for i, t, _, s, _ in rows:
+        copies[i, t, s] = copies.get((i, t, s), 0) + 1
+    assert all(n <= 3 * copies[k] for k, n in uses.items())
 
 
 def test_the_whole_pipeline(spark, tmp_path):

@@ -82,6 +82,37 @@ def test_sites_shrink_to_their_prior(spark):
     assert abs(rate["tiny"] - whole) < 0.5 * abs(np.mean(own["tiny"]) - whole)
 
 
+def test_posteriors_match_brute_force(spark):
+    docs, labels, _ = corpus()
+    docs += [(900, "an er th in on re an er", None, "tiny", 5), (901, "an er", "xx", None, 5), (902, None, None, None, 5)]
+    d, lab = frames(spark, docs, labels)
+    rows = quality.classify(d, lab, ["doc_id", "source", "lang"]).collect()
+    own = {r.doc_id: min(max(1 - (1 - r.p_toxic) * (1 - r.p_poor), 1e-6), 1 - 1e-6) for r in rows}
+    hosts, paths = {}, {}
+    for r in rows:
+        for table, key in ((hosts, r.source), (paths, (r.source, r.lang))):
+            n, bad = table.get(key, (0, 0.0))
+            table[key] = (n + 1, bad + own[r.doc_id])
+
+    def strength(sites):  # n, bad, centre
+        n = sum(s[0] for s in sites)
+        spread = sum(a * (b / a - c) ** 2 for a, b, c in sites) / n
+        noise, level = sum(c * (1 - c) for *_, c in sites) / n, sum(a * c * (1 - c) for a, _, c in sites) / n
+        return max(level / max(spread - noise, level / 10_000) - 1, 2.0)
+
+    rate = (sum(b for _, b in hosts.values()) + 0.5) / (sum(n for n, _ in hosts.values()) + 1)
+    s1 = strength([(n, b, rate) for n, b in hosts.values()])
+    host_rate = {h: (b + rate * s1) / (n + s1) for h, (n, b) in hosts.items()}
+    s2 = strength([(n, b, host_rate[h]) for (h, _), (n, b) in paths.items()])
+    logit = lambda p: np.log(p / (1 - p))
+    for r in rows:
+        (hn, hb), (pn, pb), mine = hosts[r.source], paths[r.source, r.lang], own[r.doc_id]
+        assert r.host_rate == pytest.approx(host_rate[r.source]) and r.path_rate == pytest.approx((pb + host_rate[r.source] * s2) / (pn + s2))
+        without = (pb - mine + (hb - mine + rate * s1) / (hn - 1 + s1) * s2) / (pn - 1 + s2)
+        p = 1 / (1 + np.exp(-(logit(mine) + 0.25 * (logit(min(max(without, 1e-6), 1 - 1e-6)) - logit(rate)))))
+        assert r.p_fault == pytest.approx(p) and r.kept == (p < 0.6)
+
+
 def test_nulls_empty_texts_repeats_and_tables_without_rows(spark):
     docs, labels, _ = corpus(200)
     odd = [(1000, None, None, None, None), (1001, "", "en", "x", 0), (None, "an er", "en", "x", 5), (3, docs[3][1], "en", docs[3][3], 1), (1002, "x" * 300_000, None, "x", 1)]
