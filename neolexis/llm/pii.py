@@ -22,9 +22,11 @@ _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _ANY = re.compile(r"[0-9@]")
-_TRIGGER = re.compile(r"[0-9@]+|[\[( ]dot[\]) ]", re.IGNORECASE)
-_NATIONAL = re.compile(r"\(?[0-9]{3}\)?[ .-]?[0-9]{3}[ .-][0-9]{4}")
-_MASKED = re.compile(r"[a-z0-9._%+()\[\] -]*?\s?[\[( ]at[\]) ]\s?[a-z0-9-]+(?:\s?[\[( ]dot[\]) ]\s?[a-z0-9-]+)+", re.IGNORECASE)
+_TRIGGER = re.compile(r"[0-9@]+|[\[(]\s?(?:at|dot)\s?[\])]| dot ", re.IGNORECASE)
+_NATIONAL = re.compile(r"\(?[0-9]{3}\)?[ .-]?[0-9]{3}[ .-][0-9]{4}|\(?0[0-9]{1,4}\)?[ /-][0-9]{3,8}(?:[ -][0-9]{2,5}){0,2}")
+_MASKED = re.compile(r"[a-z0-9._%+()\[\] -]*?(?:\s?[\[(]\s?at\s?[\])]\s?[a-z0-9-]+(?:(?:\s?[\[( ]\s?dot\s?[\]) ]\s?|\.)[a-z0-9-]+)+| at [a-z0-9-]+(?: dot [a-z0-9-]+)+)", re.IGNORECASE)
+_DEFANGED = re.compile(r"([0-9]{1,3})(?:\s?[\[(](?:\.|dot)[\])]\s?|\.)([0-9]{1,3})(?:\s?[\[(](?:\.|dot)[\])]\s?|\.)([0-9]{1,3})(?:\s?[\[(](?:\.|dot)[\])]\s?|\.)([0-9]{1,3})", re.IGNORECASE)
+_SPACED = re.compile(r"[0-9]{4}(?:[._/]|\s?[-–]\s?|\s\s)[0-9]{4}(?:[._/]|\s?[-–]\s?|\s\s)[0-9]{4}(?:[._/]|\s?[-–]\s?|\s\s)[0-9]{4}")
 
 Span = tuple[str, int, int]
 
@@ -65,13 +67,11 @@ def base_spans(text: str) -> list[Span]:
 
 
 def regions(text: str) -> list[tuple[int, int]]:
-    """Stretches that can hold spans: REACH characters around digits, @ and written-out dots, merged.
+    """Stretches that can hold spans: REACH characters around digits, @, and at or dot written in brackets or (dot) as a word, merged.
 
-    Every kind needs such a character, so elsewhere the tag is O by definition of the model.
+    Every form that `_valid` accepts has one of these, so no span it would accept is out of reach.
     """
     out: list[list[int]] = []
-    if not (_ANY.search(text) or "dot" in text or "DOT" in text or "Dot" in text):
-        return []
     for m in _TRIGGER.finditer(text):
         a, b = max(0, m.start() - REACH), min(len(text), m.end() + REACH)
         if out and a <= out[-1][1]:
@@ -82,10 +82,19 @@ def regions(text: str) -> list[tuple[int, int]]:
 
 
 def _valid(kind: str, piece: str) -> bool:
-    """Whether an added span has the outer form of its kind: the model proposes, this keeps dates and keys out."""
+    """Whether an added span has an outer form of its kind: the model proposes, this keeps dates, versions and keys out.
+
+    Phones are national numbers, emails addresses with at or dot written out, ips and cards those with other
+    separators than the fixed patterns allow.
+    """
     if kind == "phone":
-        return bool(_NATIONAL.fullmatch(piece))
-    return kind == "email" and bool(_MASKED.fullmatch(piece))
+        return bool(_NATIONAL.fullmatch(piece)) and 9 <= sum(c.isdigit() for c in piece) <= 12
+    if kind == "ip":
+        m = _DEFANGED.fullmatch(piece)
+        return bool(m) and all(int(x) <= 255 for x in m.groups())
+    if kind == "card":
+        return bool(_SPACED.fullmatch(piece)) and luhn("".join(c for c in piece if c.isdigit()))
+    return bool(_MASKED.fullmatch(piece))
 
 
 class Detector:

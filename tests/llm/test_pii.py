@@ -56,11 +56,44 @@ def test_held_out_accuracy_and_added_spans():
     assert base == [("email", 28, 36)] and spans == [("email", 28, 36), ("phone", 5, 19)]
 
 
-def test_long_regions_are_reconciled_over_windows():
+def test_every_kind_can_be_added():
     detector = pii.Detector(bilstm_crf.default_model())
-    text = "7 " * 3000 + "write to jane.doe [at] corp [dot] com please " + "1 and " * 400
-    (_, spans), = detector.spans([text])
-    assert all(text[a:b] for _, a, b in spans)
+    found = {}
+    for kind, some in {
+        "email": ["jane.doe [at] corp [dot] com", "jane (at) example.com", "jane [AT] corp [dOt] com", "bob(at)mail(dot)org"],
+        "ip": ["10[.]20[.]30[.]40", "192(.)168(.)4(.)17"], "card": ["4111.1111.1111.1111", "4111_1111_1111_1111"], "phone": ["030 1234567", "(415) 555-2671", "0171/5551234"],
+    }.items():
+        for piece in some:
+            text = f"er th in on re anstion please {piece} ly ed ha st"
+            ((base, spans),) = detector.spans([text])
+            found[piece] = not base and [(k, text[a:b]) for k, a, b in spans] == [(kind, piece)]
+    assert sum(found.values()) >= len(found) - 2, found
+    for text in ("on 2024-01-15 at 10.20.30 they met", "v1.2.3 and build 20240115", "look at it . dot and so on", "order 1234567890 of 12"):
+        assert detector.spans([text]) == [([], [])], text
+
+
+def test_every_accepted_form_is_within_reach():
+    for piece in ("jane [at] corp [dOt] com", "a(at)b.de", "x at y dot z", "( at ) no", "10[.]2[.]3[.]4", "030 1234567", "4111_1111_1111_1111"):
+        text = "w " * 200 + piece + " w" * 200
+        a = text.index(piece)
+        got = pii.regions(text)
+        assert not piece.startswith("( ") and any(x <= a and a + len(piece) <= y for x, y in got) or piece.startswith("( ")
+
+
+def test_long_regions_are_reconciled_over_windows():
+    model = bilstm_crf.default_model()
+    detector = pii.Detector(model)
+    piece = "jane.doe [at] corp [dot] com"
+    for shift in range(0, 48, 7):  # the address lies differently in the windows
+        text = "7 " * 300 + "and " * (shift // 4) + "x" * (shift % 4) + f" write to {piece} please " + "1 and " * 60
+        ((a, b),) = pii.regions(text)
+        assert b - a > 5 * bilstm_crf.WINDOW
+        ((base, spans),) = detector.spans([text])
+        assert not base and [(k, text[x:y]) for k, x, y in spans] == [("email", piece)]
+        # windowed emissions decoded once agree with those of the whole region read in one piece
+        whole = model.viterbi(model.emissions(bilstm_crf.encode(text[a:b])[None]), np.array([b - a]))[0]
+        at = text.index(piece) - a
+        assert [bilstm_crf.TAGS[t] for t in whole[at : at + 3]] == ["B-email", "I-email", "I-email"]
 
 
 def test_query_form_with_nulls_empty_texts_repeats_and_extra_columns(spark):
