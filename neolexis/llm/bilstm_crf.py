@@ -149,7 +149,7 @@ def window_tags(text: str, spans: list[tuple[str, int, int]]) -> np.ndarray:
     return tags
 
 
-def train(samples: list[tuple[str, list[tuple[str, int, int]]]], steps: int = 420, batch: int = 48, rate: float = 0.02, seed: int = 0, hidden: int = 16) -> Tagger:
+def train(samples: list[tuple[str, list[tuple[str, int, int]]]], steps: int = 300, batch: int = 48, rate: float = 0.02, seed: int = 0, hidden: int = 16) -> Tagger:
     """Fit on labelled spans (text, [(kind, start, end)]) by Adam; the same input gives the same weights."""
     rng, model = np.random.default_rng(seed), Tagger(hidden=hidden, seed=seed)
     xs, ys = [], []

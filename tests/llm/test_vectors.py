@@ -94,20 +94,47 @@ def test_search_matches_brute_force_on_small_tables(spark):
 def test_search_recall_over_shards(spark, monkeypatch):
     monkeypatch.setattr(forest, "SHARD", 1000)
     monkeypatch.setattr(forest, "QUERIES", 20)
+    monkeypatch.setattr(forest, "PAIRS", 10_000)
     x = np.random.default_rng(4).normal(size=(3000, 32))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
-    out = forest.search(df, df.where("vec_id % 50 = 0")).collect()
+    out = forest.search(df, df.where("vec_id % 50 = 0"), least=50).collect()
     sims = x @ x.T
     np.fill_diagonal(sims, -9)
     hit = sum(r.vec_id in np.argsort(-sims[r.query_id])[:5] for r in out)
     assert len(out) == 300 and hit / 300 >= 0.9
 
 
+def test_ties_go_to_smaller_ids_and_repeated_ids_are_candidates_each(spark, monkeypatch):
+    monkeypatch.setattr(forest, "SHARD", 40)
+    rng = np.random.default_rng(6)
+    v, others = rng.normal(size=16).tolist(), rng.normal(size=(150, 16)).tolist()
+    rows = [(0, v)] + [(i, v) for i in random.Random(2).sample(range(1, 400), 90)] + [(1000 + i, o) for i, o in enumerate(others)] + [(7000, v), (7000, v)]
+    low = sorted(i for i, w in rows if w is v and i)[:5]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(7)
+    for least in (5, 400):
+        out = forest.search(df, df.where("vec_id in (0, 7000)"), least=least).orderBy("query_id", "rank").collect()
+        assert [r.vec_id for r in out if r.query_id == 0] == low and [r.vec_id for r in out if r.query_id == 7000] == sorted([0, *low])[:5]
+        assert len({r.score for r in out}) == 1
+    twice = spark.createDataFrame([(0, v), (5, v), (5, v), (6, others[0])], "vec_id long, embedding array<double>")
+    assert [r.vec_id for r in forest.search(twice, twice.where("vec_id = 0")).orderBy("rank").collect()] == [5, 5, 6]
+
+
 def test_forest_descends_and_ascends():
     x = np.random.default_rng(0).normal(size=(200, 8))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     f = forest.Forest(x, 4)
     for enough in (1, 10, 150, 500):
-        for k, found in enumerate(f.candidates(x[:5], enough)):
-            assert k in found and len(found) >= min(enough, 200)
+        found = {}
+        for who, row in f.candidates(x[:5], enough):
+            for a, b in zip(who.tolist(), row.tolist()):
+                found.setdefault(a, []).append(b)
+        for k in range(5):
+            assert k in found[k] and len(set(found[k])) == len(found[k]) >= min(enough, 200)
+    # a query has all rows with its prefix of the level where it stopped, in any tree
+    codes = f.codes(x)
+    for who, row in f.candidates(x[:5], 3):
+        for q in set(who.tolist()):
+            mine = set(row[who == q].tolist())
+            levels = [{i for c in codes for i in np.flatnonzero(c // f.base ** (4 - n) == c[q] // f.base ** (4 - n)).tolist()} for n in range(5)]
+            assert mine in levels
