@@ -105,7 +105,7 @@ def _nearest(forest: Forest, ids: np.ndarray, queries: np.ndarray, own: np.ndarr
     return tuple(np.concatenate(c) for c in zip(*out)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
 
 
-def search(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 5, trees: int = 400, share: float = 0.05, least: int = 400) -> DataFrame:
+def search(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 5, trees: int = 400, share: float = 0.04, least: int = 160) -> DataFrame:
     """query_id, rank (int, from 1), vec_id, score: each query's k nearest rows found, by cosine, ties to smaller ids.
 
     Every row is indexed once, in shards dealt by a hash of the row; every query goes to every shard, whose task

@@ -50,6 +50,17 @@ def test_links_match_brute_force(spark, monkeypatch):
     assert {r.n_links for r in multi_index.near_duplicates(df.where("vec_id > 1000")).collect()} == {0}
 
 
+def test_null_ids_and_pairs_at_the_threshold(spark):
+    v = [0.9, math.sqrt(1 - 0.9**2)] + [0.0] * 6
+    e = [1.0] + [0.0] * 7
+    rows = [(None, e), (None, e), (3, v), (4, v), (5, [-1.0] + [0.0] * 7), (None, [0.0, 0.0, 1.0] + [0.0] * 5)]
+    out = multi_index.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    near = int((multi_index.unit(np.array([e])) * multi_index.unit(np.array([v]))).sum() >= 0.9)
+    got = sorted((str(r.vec_id), r.n_links, str(r.component_id), str(r.kept)) for r in out)
+    first = "3" if near else "None"
+    assert got == sorted([("None", 1 + 2 * near, first, "None")] * 2 + [("3", 1 + 2 * near, "3", "True"), ("4", 1 + 2 * near, "3", "False"), ("5", 0, "5", "True"), ("None", 0, "None", "None")])
+
+
 def test_recall_of_pairs_near_the_threshold(spark):
     rng = np.random.default_rng(2)
     x = rng.normal(size=(1500, 32))
