@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,6 +26,9 @@ from .vectors import matrix, unit, usable
 SAMPLE = 20_000
 #: Rows of one side of a comparison in one task.
 BLOCK = 1024
+#: Codes of each half, at most: the sample has about ten vectors for each then. Up to cell_rows times the square of
+#: this (800 million classes by default) the grid grows with the table and cells keep their size.
+CODES = 2048
 
 
 def codebook(x: np.ndarray, codes: int, rng: np.random.Generator, rounds: int = 12) -> np.ndarray:
@@ -93,24 +97,29 @@ def _compare(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa
         side = rows["side"].to_numpy()
         node, copies, cell = (rows[c].to_numpy() for c in ("node", "copies", "cell"))
         vecs = unit(matrix(rows["vector"].combine_chunks()))
-        visited = rows["visited"].combine_chunks()
         x, y = np.flatnonzero(side != 1), np.flatnonzero(side != 0)  # side 2: both
         if not len(x) or not len(y):
             return empty
-        i, j = np.nonzero(vecs[x] @ vecs[y].T >= threshold)
+        cosine = vecs[x] @ vecs[y].T
+        i, j = np.nonzero(cosine >= threshold - 1e-9)
+        close = cosine[i, j] < threshold + 1e-9
         i, j = x[i], y[j]
+        # a product's last bits depend on the rows' places in it: decide what is that close by sums in one fixed order
+        close[close] = (vecs[i[close]] * vecs[j[close]]).sum(1) < threshold
+        i, j = i[~close], j[~close]
         if (side == 2).all():
             keep = i < j
         else:
             # the pair may be found in either's cell: it counts in the smaller one
             twice = np.zeros(len(i), bool)
             if len(i):
-                offsets, flat = np.asarray(visited.offsets), np.asarray(visited.values)
-                width = int(offsets[1] - offsets[0])
-                table = flat[offsets[0] : offsets[-1]].reshape(-1, width)
+                # only rows of the index carry what they visit
+                lists = rows["visited"].combine_chunks().take(pa.array(x))
+                table, row = np.asarray(lists.flatten()).reshape(len(x), -1), np.zeros(len(rows), np.int64)
+                row[x] = np.arange(len(x))
                 for at in range(0, len(i), 1 << 16):
                     s = slice(at, at + (1 << 16))
-                    twice[s] = (table[i[s]] == cell[j[s]][:, None]).any(1)
+                    twice[s] = (table[row[i[s]]] == cell[j[s]][:, None]).any(1)
             keep = ~twice | (cell[i] <= cell[j])  # within a cell, once anyway
         i, j = i[keep], j[keep]
         if not len(i):
@@ -157,23 +166,27 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     if not total:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
     sample = np.array([r.vector for r in classes.orderBy(F.xxhash64(F.lit(1), "node")).limit(SAMPLE).select("vector").collect()], np.float64)
-    grid = Grid(sample, int(np.clip(round((total / cell_rows) ** 0.5), 1, 256)), threshold, recall)
+    grid = Grid(sample, int(np.clip(round((total / cell_rows) ** 0.5), 1, CODES)), threshold, recall)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             visited = grid.places(unit(matrix(batch.column(2))), grid.visits) if batch.num_rows else np.zeros((0, 1), np.int64)
             own = visited[:, 0]
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(own) + 1, dtype=np.int32) * visited.shape[1]), pa.array(visited.reshape(-1)))
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(own) + 1, dtype=np.int32) * visited.shape[1]), pa.array(visited.reshape(-1).astype(np.int32)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own), lists], names=["node", "copies", "vector", "cell", "visited"])
 
     kind = classes.schema["vector"].dataType.simpleString()
-    placed = scratch.save(classes.select("node", "copies", "vector").mapInArrow(place, f"node bigint, copies bigint, vector {kind}, cell bigint, visited array<bigint>"), "placed")
-    # at most a row for each cell of the grid
-    sizes = {r.cell: r.n for r in placed.groupBy("cell").agg(F.count("*").alias("n")).collect()}
-    asked = {r.v: r.n for r in placed.select(F.explode("visited").alias("v"), "cell").where("v <> cell").groupBy("v").agg(F.count("*").alias("n")).collect()}
-    blocks = {c: -(-n // BLOCK) for c, n in sizes.items()}
-    queues = {c: -(-n // BLOCK) for c, n in asked.items()}
-    schema = f"unit bigint, side int, node bigint, copies bigint, cell bigint, visited array<bigint>, vector {kind}"
+    placed = scratch.save(classes.select("node", "copies", "vector").mapInArrow(place, f"node bigint, copies bigint, vector {kind}, cell bigint, visited array<int>"), "placed")
+
+    def blocks_of(counts: DataFrame) -> np.ndarray:
+        """Blocks of each cell: a number for each cell of the grid, at most CODES * CODES."""
+        found, out = counts.select(F.col("c").cast("int"), F.ceil(F.col("count") / BLOCK).cast("int").alias("n")).toArrow(), np.zeros(grid.cells, np.int32)
+        out[found["c"].to_numpy()] = found["n"].to_numpy()
+        return out
+
+    blocks = blocks_of(placed.groupBy(F.col("cell").alias("c")).count())
+    queues = blocks_of(placed.select(F.explode("visited").alias("c"), "cell").where("c <> cell").groupBy("c").count())
+    schema = f"unit bigint, side int, node bigint, copies bigint, cell bigint, visited array<int>, vector {kind}"
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mask = (1 << 63) - 1
@@ -181,27 +194,31 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
                 take, units, sides = [], [], []
+                few, waiting = blocks.__getitem__, queues.__getitem__
                 for k, (node, cell, visited) in enumerate(zip(part.column(0).to_pylist(), part.column(3).to_pylist(), part.column(4).to_pylist())):
                     mix = (node * 0x9E3779B97F4A7C15) >> 13 & mask
-                    mine, n = mix % blocks[cell], blocks[cell]
+                    n = int(few(cell))
+                    mine = mix % n
                     for other in range(n):
                         lo, hi = min(mine, other), max(mine, other)
                         take.append(k)
                         units.append(_unit(cell, lo, hi, 0))
                         sides.append(2 if lo == hi else 0 if mine == lo else 1)
-                    for q in range(queues.get(cell, 0)):
+                    for q in range(int(waiting(cell))):
                         take.append(k)
                         units.append(_unit(cell, mine, q, 1))
                         sides.append(0)
                     for v in visited[1:]:
-                        if v in blocks:
-                            q = (mix >> 20) % queues[v]
-                            for b in range(blocks[v]):
+                        if n := int(few(v)):
+                            q = (mix >> 20) % int(waiting(v))
+                            for b in range(n):
                                 take.append(k)
                                 units.append(_unit(v, b, q, 1))
                                 sides.append(1)
-                t = part.take(pa.array(take, pa.int64()))
-                yield pa.RecordBatch.from_arrays([pa.array(units, pa.int64()), pa.array(sides, pa.int32()), t.column(0), t.column(1), t.column(3), t.column(4), t.column(2)], names=["unit", "side", "node", "copies", "cell", "visited", "vector"])
+                t, side = part.take(pa.array(take, pa.int64())), pa.array(sides, pa.int32())
+                # those that look into a cell need not carry what they visit, which is most copies
+                lists = pc.if_else(pc.equal(side, 1), pa.scalar(None, part.schema.field(4).type), t.column(4))
+                yield pa.RecordBatch.from_arrays([pa.array(units, pa.int64()), side, t.column(0), t.column(1), t.column(3), lists, t.column(2)], names=["unit", "side", "node", "copies", "cell", "visited", "vector"])
 
     dealt = placed.mapInArrow(deal, schema).repartition("unit").sortWithinPartitions("unit")
     found = scratch.save(dealt.mapInArrow(lambda batches: _compare(batches, threshold), "a bigint, b bigint, n bigint"), "found")
@@ -209,9 +226,11 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     label = components(spark, found.where("n = 0").select("a", "b"), scratch)
     nodes = classes.select("node", "least").join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
     nodes = scratch.save(nodes.join(counts, "node", "left"), "labelled")
-    smallest = nodes.groupBy("component").agg(F.min("least").alias("component_id"))
+    # a component or a vector may have a third of the rows: what joins them is written first, so that Spark can split them
+    smallest = scratch.save(nodes.groupBy("component").agg(F.min("least").alias("component_id")), "smallest")
     labelled = nodes.join(smallest, "component").select("node", "links", "component_id")
     by_vector = classes.join(labelled, "node").select("vector", "component_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    by_vector = scratch.save(by_vector, "by_vector")
     linked = good.join(by_vector, "vector").select("vec_id", "n_links", "component_id")
     alone = rows.where("not valid").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.unionByName(alone).withColumn("kept", F.col("vec_id") == F.col("component_id"))
