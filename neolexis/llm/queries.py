@@ -89,5 +89,37 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_token_output, op2_pii, op3_simhash, op4_substrings, op5_embedding_dedup, op6_packing, op7_mixing, op8_quality, op9_nearest, op10_warc)}
 
 
+#: 35-word windows of whole texts: those that start at two places take their words away.
+OP4_SQL = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+'), CAST([] AS VARCHAR[])) AS w FROM documents),
+words AS (SELECT r, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS p FROM d),
+windows AS (SELECT r, p, count(*) OVER v AS n, md5(string_agg(x, ' ') OVER v) AS h FROM words WINDOW v AS (PARTITION BY r ORDER BY p ROWS BETWEEN CURRENT ROW AND 34 FOLLOWING)),
+repeats AS (SELECT r, p FROM (SELECT r, p, count(*) OVER (PARTITION BY h) AS c FROM windows WHERE n = 35) WHERE c > 1),
+gone AS (SELECT DISTINCT r, unnest(range(p, p + 35)) AS p FROM repeats),
+kept AS (SELECT r, count(*) AS n, string_agg(x, ' ' ORDER BY p) AS k FROM words ANTI JOIN gone USING (r, p) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(k, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (r)
+"""
+#: All pairs, and whom each vector reaches over links.
+OP5_SQL = """
+WITH RECURSIVE good AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE embedding IS NOT NULL AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0 AND len([x for x in embedding if x <> 0]) > 0),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM good a JOIN good b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.v, b.v) >= 0.9),
+reach AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b),
+least AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a),
+counts AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept FROM embeddings JOIN least ON least.a = vec_id LEFT JOIN counts ON counts.a = vec_id
+"""
+#: Base 32 of SHA-1: each five of its forty hex digits are four letters.
+OP10_SQL = """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS b, sha1(coalesce(html, '')) AS s FROM pages),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY s, b) AS first FROM p)
+SELECT page_id, CAST(b AS BIGINT) AS payload_bytes,
+array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(((CAST('0x' || substr(s, (i // 4) * 5 + 1, 5) AS BIGINT) >> (15 - 5 * (i % 4))) & 31) + 1 AS BIGINT), 1) for i in range(32)], '') AS payload_digest,
+CASE WHEN first IS NULL OR page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+CASE WHEN first IS NULL OR page_id = first THEN NULL ELSE first END AS refers_to FROM f
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """What SQL can express. The others are tested against brute force: trained models, tokenizers, fingerprints by
+    XXH64, orders by a hash that DuckDB lacks, approximate search."""
+    return {"op4_substrings": OP4_SQL, "op5_embedding_dedup": OP5_SQL, "op10_warc": OP10_SQL}

@@ -1,8 +1,9 @@
 """WARC archives: segmented records with chunked transfer framing, written and read back through Spark.
 
 Records are gzip members of their own, as the format advises. Spark's text writer puts them into files under
-its commit protocol, so lost executors leave no half files: a row is a compressed record, and the writer's line
-separator is an empty gzip member, which readers skip.
+its commit protocol, so lost executors leave no half files: a row is a bundle of compressed records, and the
+writer's line separator is an empty gzip member, which readers skip. That writer passes a string's bytes on as they
+are, valid UTF-8 or not.
 """
 
 from __future__ import annotations
@@ -22,9 +23,12 @@ from .common import Scratch, scratch_path
 
 #: Bytes of block in one record; larger ones go on in continuation records.
 SEGMENT = 64 << 10
-#: Records of one file: with SEGMENT it bounds a file's size, and so a reading task's memory.
-RECORDS_A_FILE = 512
+#: Compressed bytes of records that make up one row of the writer, about, and rows of a file: files have up to 48 MB
+#: or so, whatever the sizes of pages, which bounds a reading task's memory and the number of files.
+BUNDLE, BUNDLES_A_FILE = 1 << 20, 48
 CHUNK = 8 << 10
+#: Bytes handed to the decompressor at once.
+PIECE = 16 << 10
 _EMPTY_MEMBER = bytes.fromhex("1f8b08000000000000ff03000000000000000000")
 _READ = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
 _PARTS = "origin string, number int, total long, kind string, page_id long, refers_to long, digest string, payload_bytes long, block binary"
@@ -107,7 +111,7 @@ def write_warc(pages: DataFrame, path: str, least_revisit: int = 0, date: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, row = TaskContext.get().partitionId(), 0
         for batch in batches:
-            done, held = [], 0
+            rows, done, held, kept = [], [], 0, 0
             for page, url, payload, first_page in zip(*(c.to_pylist() for c in batch.columns)):
                 row += 1
                 # one task writes all segments of a page, and only one attempt of a task is committed
@@ -116,24 +120,32 @@ def write_warc(pages: DataFrame, path: str, least_revisit: int = 0, date: str =
                 for record in page_records(record_id, page, url, payload, first_page, revisit, date):
                     done.append(record)
                     held += len(record)
-                if held > 4 << 20:
-                    yield pa.RecordBatch.from_arrays([pa.array(done, pa.binary())], names=["value"])
-                    done, held = [], 0
-            yield pa.RecordBatch.from_arrays([pa.array(done, pa.binary())], names=["value"])
+                    if held > BUNDLE:
+                        rows.append(b"".join(done))
+                        done, kept, held = [], kept + held, 0
+                if kept > 4 << 20:
+                    yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary())], names=["value"])
+                    rows, kept = [], 0
+            yield pa.RecordBatch.from_arrays([pa.array([*rows, b"".join(done)] if done else rows, pa.binary())], names=["value"])
 
     records = joined.mapInArrow(run, "value binary").select(F.col("value").cast("string").alias("value"))
-    records.write.option("lineSep", _EMPTY_MEMBER.decode("latin-1")).option("encoding", "ISO-8859-1").option("compression", "none").option("maxRecordsPerFile", RECORDS_A_FILE).text(path)
+    records.write.option("lineSep", _EMPTY_MEMBER.decode("latin-1")).option("encoding", "ISO-8859-1").option("compression", "none").option("maxRecordsPerFile", BUNDLES_A_FILE).text(path)
 
 
 def parse_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     """Headers (names in lower case) and block of each record of an archive of gzip members."""
-    rest = memoryview(data)
-    while len(rest):
-        member = zlib.decompressobj(31)
-        raw = member.decompress(rest)
-        if not member.eof:
-            raise ValueError("cut gzip member")
-        rest = rest[len(rest) - len(member.unused_data) :] if member.unused_data else rest[:0]
+    view, at = memoryview(data), 0
+    while at < len(view):
+        # in pieces: what follows a member is handed back as a copy, which must not be the whole rest of the file
+        member, parts = zlib.decompressobj(31), []
+        while not member.eof:
+            if at >= len(view):
+                raise ValueError("cut gzip member")
+            piece = view[at : at + PIECE]
+            parts.append(member.decompress(piece))
+            at += len(piece)
+        at -= len(member.unused_data)
+        raw = b"".join(parts)
         if not raw:
             continue
         head, _, block = raw.partition(b"\r\n\r\n")
@@ -163,7 +175,7 @@ def payload_of(block: bytes) -> bytes:
 def read_warc(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
     """Per page: page_id, payload_bytes, payload_digest, record_type, refers_to, payload (null for revisits, or if not asked for).
 
-    Files are read whole; their size is bounded by their number of records. Records are shuffled by origin
+    Files are read whole; their size is bounded. Records are shuffled by origin
     identifier, and only segments carry their bytes along: a page's segments may lie in any files. Payload and digest of a response
     are computed from the decoded bytes and compared with the digest in the archive; ValueError says what is
     broken.

@@ -194,6 +194,25 @@ def test_archives_round_trip(spark, monkeypatch):
     assert {r.record_type for r in warc.read_warc(spark, path, False).collect()} == {"response"}
 
 
+def test_archives_are_bundled_and_parsed_member_by_member(spark, monkeypatch):
+    monkeypatch.setattr(warc, "BUNDLE", 2000)
+    monkeypatch.setattr(warc, "BUNDLES_A_FILE", 3)
+    rng = random.Random(5)
+    rows = [(i, "u", "".join(chr(rng.randrange(32, 0x2FF)) for _ in range(700))) for i in range(60)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    path = scratch_path(spark, "bundles")
+    warc.write_warc(pages, path)
+    files = spark.read.format("binaryFile").load(path).collect()
+    assert len(files) > 3 and max(r.length for r in files) < 3 * 5000
+    assert {r.page_id: r.payload.decode() for r in warc.read_warc(spark, path).collect()} == {i: t for i, _, t in rows}
+    every = bytes(range(256)) * 300
+    data = warc._record([("WARC-Type", "x")], every) + warc._EMPTY_MEMBER + warc._record([("WARC-Type", "y")], b"")
+    assert [(f["warc-type"], b) for f, b in warc.parse_warc(data)] == [("x", every), ("y", b"")]
+    for cut in (5, len(data) - 3):
+        with pytest.raises(ValueError):
+            list(warc.parse_warc(data[:cut]))
+
+
 def test_broken_archives_are_refused():
     assert warc.unchunked(warc.chunked(b"abc" * 9000)) == b"abc" * 9000
     with pytest.raises(ValueError):
