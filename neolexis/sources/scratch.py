@@ -50,7 +50,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
-        self.paths: dict[int, str] = {}
+        self.paths: list[str] = []
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         """Write df and read it back. What its plan shuffled is of no use any more and goes at once."""
@@ -63,10 +63,19 @@ class Scratch:
         finally:
             conf.set(_CLEANUP, before)
         out = self.spark.read.schema(df.schema).parquet(path)
-        self.paths[id(out)] = path.rsplit("/", 1)[0]
+        out._scratch = path.rsplit("/", 1)[0]
+        self.paths.append(out._scratch)
         return out
 
     def drop(self, df: DataFrame) -> None:
         """Delete a saved table that nothing reads any more."""
-        if path := self.paths.pop(id(df), None):
+        path = getattr(df, "_scratch", None)
+        if path in self.paths:
+            self.paths.remove(path)
+            remove(self.spark, path)
+
+    def keep(self, *tables: DataFrame) -> None:
+        """Delete all saved tables but these."""
+        for path in set(self.paths) - {t._scratch for t in tables}:
+            self.paths.remove(path)
             remove(self.spark, path)
