@@ -262,13 +262,15 @@ def classify(docs: DataFrame, labels: DataFrame, keep: list[str], host_col: str
     """
     scratch = Scratch(docs.sparkSession)
     model = fit(docs, labels, scratch, id_col, text_col, path_col, lexicon)
+    scratch.keep()
     named = docs.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(keep)], F.col(host_col).alias("_host"), F.col(path_col).alias("_path"), F.col(text_col).alias("_body"))
-    rows = scratch.save(evidence(named, model, [*(f"_k{i}" for i in range(len(keep))), "_host", "_path"], "_body", "_path"), "evidence")
+    saved = scratch.save(evidence(named, model, [*(f"_k{i}" for i in range(len(keep))), "_host", "_path"], "_body", "_path"), "evidence")
     # the two faults as independent given the text
     fault = 1 - (1 - F.col("p_toxic")) * (1 - F.col("p_poor"))
-    rows = rows.withColumn("_own", F.greatest(F.least(fault, F.lit(1 - 1e-6)), F.lit(1e-6)))
+    rows = saved.withColumn("_own", F.greatest(F.least(fault, F.lit(1 - 1e-6)), F.lit(1e-6)))
     paths = scratch.save(rows.groupBy("_host", "_path").agg(F.count("*").alias("n"), F.sum("_own").alias("bad")), "paths")
     sites = scratch.save(site_rates(paths), "sites")
+    scratch.keep(saved, sites)
     logit = lambda p: F.log(p / (1 - p))
     # a row a site: broadcast only behind this check, joined by shuffle beyond it
     sites = F.broadcast(sites) if sites.count() <= BROADCAST_SITES else sites

@@ -322,7 +322,7 @@ def similar_documents(docs: DataFrame, id_col: str, print_col: str, text_col: st
     Components are those of all pairs whose sets of shingles have a Jaccard similarity of 0.8 or more. Sets that
     share a hash of their prefixes are proposed, which no such pair escapes; fingerprints of the sets that differ
     in more than `most` bits discard proposals; what remains is compared exactly within the proposals' components.
-    Texts without words are one set. An empty table gives an empty result.
+    Texts without words are one set. An empty table gives an empty result. The result is written; what led to it goes.
     """
     import xxhash
 
@@ -355,6 +355,7 @@ def similar_documents(docs: DataFrame, id_col: str, print_col: str, text_col: st
     sized = shared.join(first.select("id", *cols, "d"), "id")
     proposed = scratch.save(_units(sized, [*cols, "d"], BLOCK).mapInArrow(lambda batches: _link_runs(batches, words, most), "a long, b long").distinct(), "proposed")
     scratch.drop(shared)
+    scratch.drop(counts)
     loose = components(spark, proposed, scratch).select(F.col("node").alias("id"), F.col("component").alias("key"))
     loose = scratch.save(loose.join(first.select("id", "doc", "print"), "id").select("id", "key", F.col("doc").alias("_doc"), F.col("print").alias("_print")), "loose")
 
@@ -372,4 +373,7 @@ def similar_documents(docs: DataFrame, id_col: str, print_col: str, text_col: st
     links = _units(sets.join(sizes, "key"), ["hashes"], SETS).mapInArrow(_alike_runs, "a long, b long")
     label = components(spark, links, scratch).select(F.col("node").alias("set"), "component")
     scratch.drop(sets)
-    return rows.select(F.col("doc").alias(id_col), F.col("print").alias(print_col), "set").join(label, "set", "left").withColumn("component", F.coalesce("component", "set"))
+    out = rows.select(F.col("doc").alias(id_col), F.col("print").alias(print_col), "set").join(label, "set", "left").withColumn("component", F.coalesce("component", "set"))
+    out = scratch.save(out, "similar")
+    scratch.keep(out)
+    return out
