@@ -36,7 +36,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     each group stays; a document without id stays only if no other of its group has one.
     """
     keyed = docs.select(*COLUMNS, F.xxhash64("text").alias("_print"))
-    found = Scratch(spark).save(similar_documents(keyed, "doc_id", "_print", most=BITS_APART), "similar")
+    found = similar_documents(keyed, "doc_id", "_print", most=BITS_APART)
     # ids that are null come last; of rows with one id, the smallest hash of a text
     least = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("_none"), "doc_id", "_print")).alias("_least"))
     stay = least.select(F.col("_least.doc_id").alias("_id"), F.col("_least._print").alias("_p"))
