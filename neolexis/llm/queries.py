@@ -76,7 +76,9 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix
 
     mixed = mix(_table(spark, sf_dir, "documents"), Scratch(spark), ["doc_id"])
-    return mixed.select("doc_id", "size", "source_size", "target", "taken", F.col("uses.position").alias("positions"))
+    # training positions in billionths of the whole
+    places = F.concat_ws(",", F.transform("uses", lambda u: F.round(u["position"] * 1e9).cast("long").cast("string")))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", places.alias("positions"))
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,6 +110,22 @@ least AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a),
 counts AS (SELECT a, count(*) AS n FROM links GROUP BY a)
 SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept FROM embeddings JOIN least ON least.a = vec_id LEFT JOIN counts ON counts.a = vec_id
 """
+#: Targets in closed form, as source_targets has them; each source's words are taken in the order of a hash, up to thrice.
+OP7_SQL = """
+WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size, substr(md5(concat_ws('|', '20', CAST(doc_id AS VARCHAR), coalesce(text, ''))), 1, 16) AS h FROM documents),
+sizes AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
+turns AS (SELECT *, row_number() OVER (ORDER BY source IS NULL, source) - 1 AS turn FROM sizes),
+caps AS (SELECT *, CAST([5, 2, 1][turn % 3 + 1] AS DOUBLE) AS weight, CAST(source_size * 3 AS DOUBLE) AS cap FROM turns),
+ordered AS (SELECT *, row_number() OVER r AS n, sum(source_size) OVER () AS everything, coalesce(sum(cap) OVER (r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0) AS capped, sum(weight) OVER (r ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest FROM caps WINDOW r AS (ORDER BY cap / weight, turn)),
+levels AS (SELECT *, (CAST(everything AS DOUBLE) - capped) / rest AS level FROM ordered),
+shares AS (SELECT arg_min(level, n) AS share FROM levels WHERE level <= cap / weight),
+targets AS (SELECT source AS s, source_size, turn, least(cap, coalesce(weight * share, cap)) AS target FROM levels, shares),
+placed AS (SELECT d.*, CAST(coalesce(sum(size) OVER (PARTITION BY source ORDER BY h < '8', h ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS begins FROM d),
+used AS (SELECT *, [k for k in range(3) if least(size, CAST(round(target) AS BIGINT) - begins - k * source_size) > 0] AS passes, [0.5, 1.0, 1.5][turn % 3 + 1]::DOUBLE AS a, [1.5, 1.0, 0.5][turn % 3 + 1]::DOUBLE AS b FROM placed JOIN targets ON placed.source IS NOT DISTINCT FROM targets.s),
+demands AS (SELECT *, [least(CAST(begins + k * source_size AS DOUBLE) / greatest(target, 1.0), 1.0) * (a + b) for k in passes] AS wholes FROM used)
+SELECT doc_id, size, source_size, target, CAST(coalesce(list_sum([least(size, CAST(round(target) AS BIGINT) - begins - k * source_size) for k in passes]), 0) AS BIGINT) AS taken,
+array_to_string([CAST(round(w / (a + sqrt(greatest(a * a + (b - a) * w, 0.0))) * 1e9) AS BIGINT) for w in wholes], ',') AS positions FROM demands
+"""
 #: Base 32 of SHA-1: each five of its forty hex digits are four letters.
 OP10_SQL = """
 WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS b, sha1(coalesce(html, '')) AS s FROM pages),
@@ -122,4 +140,4 @@ CASE WHEN first IS NULL OR page_id = first THEN NULL ELSE first END AS refers_to
 def oracle_sql() -> dict[str, str]:
     """What SQL can express. The others are tested against brute force: trained models, tokenizers, fingerprints by
     XXH64, orders by a hash that DuckDB lacks, approximate search."""
-    return {"op4_substrings": OP4_SQL, "op5_embedding_dedup": OP5_SQL, "op10_warc": OP10_SQL}
+    return {"op4_substrings": OP4_SQL, "op5_embedding_dedup": OP5_SQL, "op7_mixing": OP7_SQL, "op10_warc": OP10_SQL}

@@ -116,6 +116,23 @@ def test_mixing_meets_targets(spark):
     assert mixing.mix(docs.limit(0), Scratch(spark), ["doc_id"]).count() == 0
 
 
+def test_mixing_is_what_its_sql_gives(spark, tmp_path):
+    import duckdb
+
+    from neolexis.llm import queries
+
+    rng = random.Random(4)
+    rows = [(i, rng.choice(["a", "a", "a", "b", "É", None]), rng.choice([None, "", "one", "w " * 40, "x\ty\u00a0z " * 7])) for i in range(150)]
+    rows += [(None, "a", "no id"), (7, "b", "long " * 9000), *[(500, "c", "twice the same")] * 3]
+    docs = spark.createDataFrame([(*r, 0) for r in rows], "doc_id long, source string, text string, size int")
+    docs.repartition(3).write.parquet(f"file://{tmp_path}/documents.parquet")
+    got = queries.op7_mixing(spark, f"file://{tmp_path}")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.execute(queries.oracle_sql()["op7_mixing"]).fetchall()
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
+
+
 def test_curriculum_inverts_the_integral(spark):
     for first, last in ((0.5, 1.5), (1.0, 1.0), (1.5, 0.5), (0.0, 2.0)):
         for t in (0.0, 0.1, 0.5, 0.9, 1.0):
