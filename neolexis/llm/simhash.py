@@ -168,14 +168,31 @@ def _forest(n: int, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np
     return label[at], at
 
 
-def _link_runs(batches: Iterator[pa.RecordBatch], words: int, most: int) -> Iterator[pa.RecordBatch]:
-    """From rows sorted by unit, with their pivot distances: the links within each unit, as a forest. Holds one unit and one batch."""
-    names = ["unit", "id", *(f"f{k}" for k in range(words))]
+#: A set's size; its hashes from the shared one on; those that another set may share; where its prefix ends in the order.
+PLACE = ("size", "room", "left", "last")
+
+
+def _reachable(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether two sets (rows of PLACE) that meet at their first shared hash may share 8/18 of both sizes' sum, which 0.8 takes.
+
+    What they share lies at or behind that hash in both. And of the set whose prefix ends first, a hash of the prefix
+    that the other holds is in the other's prefix too: those that no other prefix has are not shared (left is without them).
+    """
+    left = np.where(a[:, 3] < b[:, 3], a[:, 2], np.where(a[:, 3] > b[:, 3], b[:, 2], np.maximum(a[:, 2], b[:, 2])))
+    return 9 * np.minimum(left, np.minimum(a[:, 1], b[:, 1])) >= 4 * (a[:, 0] + b[:, 0])
+
+
+def _link_runs(batches: Iterator[pa.RecordBatch], words: int, most: int, placed: bool = False) -> Iterator[pa.RecordBatch]:
+    """From rows sorted by unit, with their pivot distances: the links within each unit, as a forest. Holds one unit and one batch.
+
+    placed: rows are sets at a hash of theirs, with the columns PLACE; pairs that can't share enough for 0.8 are discarded first.
+    """
+    names = ["unit", "id", *(f"f{k}" for k in range(words)), *(PLACE if placed else ())]
     rest: tuple[np.ndarray, np.ndarray] | None = None
 
     def link(rows: np.ndarray, table: np.ndarray) -> Iterator[pa.RecordBatch]:
         unit, ids = rows[:, 0], rows[:, 1]
-        prints, table = np.ascontiguousarray(rows[:, 2:]).view(np.uint64), table.astype(np.int16)
+        prints, table = np.ascontiguousarray(rows[:, 2 : 2 + words]).view(np.uint64), table.astype(np.int16)
         found_a, found_b = [], []
         live = np.arange(len(rows))
         for step in range(1, len(rows)):
@@ -184,6 +201,8 @@ def _link_runs(batches: Iterator[pa.RecordBatch], words: int, most: int) -> Iter
             if not len(live):
                 break
             a = live
+            if placed:
+                a = a[_reachable(rows[a, -4:], rows[a + step, -4:])]
             for c in range(table.shape[1]):  # coordinate by coordinate: most pairs fail early
                 a = a[np.abs(table[a, c] - table[a + step, c]) <= most]
                 if not len(a):
@@ -265,18 +284,67 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 #: Shingle sets of one side of an exact comparison in one task.
 SETS = 256
+#: One text in as many is read for the hashes that many texts share; so many of them at most are told to all tasks.
+SAMPLED, COMMON = 32, 1 << 18
+#: Sets of a large group that all its other sets are compared with.
+HUBS = 4
+
+
+def _often(hashes: np.ndarray, common: np.ndarray, seen: np.ndarray) -> np.ndarray:
+    """How often each hash was seen in the sample; 0 for those not in `common` (sorted)."""
+    if not len(common):
+        return np.zeros(len(hashes), np.int64)
+    at = np.minimum(np.searchsorted(common, hashes), len(common) - 1)
+    return np.where(common[at] == hashes, seen[at], 0)
+
 
+def prefix_end(prefix: np.ndarray, often: np.ndarray) -> int:
+    """Where the last hash of a prefix stands in the order, but for hashes that agree in their first half."""
+    return (int(often[-1]) << 32) + (int(prefix[-1]) >> 32) if len(prefix) else 0
 
-def prefix(hashes: np.ndarray) -> np.ndarray:
-    """Of sorted distinct hashes the smallest that two sets of similarity 0.8 can't both miss.
 
-    The sets share at least 0.8 of either's members, so each misses at most a fifth of its own: the smallest
-    shared one is among the first n - ceil(0.8 n) + 1 of both.
+def prefix(hashes: np.ndarray, often: np.ndarray | None = None) -> np.ndarray:
+    """Of sorted distinct hashes the first that two sets of similarity 0.8 can't both miss: the rarest, equally rare ones by value.
+
+    The sets share at least 0.8 of either's members, so each misses at most a fifth of its own: the first
+    shared one is among the first n - ceil(0.8 n) + 1 of both. That holds in any order which is the same for
+    all sets; with common hashes last, a line in a tenth of all texts proposes next to none of their pairs.
     """
     n = len(hashes)
+    if often is not None and often.any():
+        hashes = hashes[np.argsort(often, kind="stable")]
     return hashes[: n - (4 * n + 4) // 5 + 1] if n else hashes
 
 
+def common_hashes(docs: DataFrame, shingle: int, scratch: Scratch) -> tuple[np.ndarray, np.ndarray]:
+    """From print, body: shingle hashes that a sample of the texts holds twice or more, ascending, and how often; at most COMMON.
+
+    They only set the order of hashes, on which no link depends: what the sample misses costs time.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 64):
+                sets = [np.unique(shingle_hashes(t, shingle)).view(np.int64) for t in whole.column(0).slice(at, 64).to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets))], names=["key"])
+
+    sample = docs.where(F.pmod(F.xxhash64("print", F.lit("sample")), F.lit(SAMPLED)) == 0).select("body")
+    counts = scratch.save(sample.mapInArrow(run, "key long").groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "common")
+    least, held = None, 0
+    for n, keys in sorted(counts.groupBy("n").count().collect(), reverse=True):
+        held += keys
+        if held > COMMON:
+            break
+        least = n
+    if least is None:
+        return np.array([], np.uint64), np.array([], np.int64)
+    found = counts.where(F.col("n") >= least).toArrow()
+    scratch.drop(counts)
+    keys = found.column("key").to_numpy().view(np.uint64)
+    order = np.argsort(keys)
+    return keys[order], found.column("n").to_numpy()[order]
+
+
 def alike(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """All pairs of sets (distinct hashes each) of Jaccard similarity 0.8 or more, in whole numbers."""
     n, sizes = len(sets), np.array([len(x) for x in sets], np.int64)
@@ -316,12 +384,57 @@ def _alike_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from link()
 
 
+def _exact_components(sets: DataFrame, sizes: DataFrame, loose: DataFrame, scratch: Scratch) -> DataFrame:
+    """node, component of all links between sets (id, key, hashes) of one key; sizes: key, n. loose: id, key, own (hashes not common).
+
+    Keys of up to SETS sets are one unit. A larger one is cut into pieces of about SETS, each compared within itself
+    and with the key's hubs, its sets of fewest own hashes: near copies of one text meet there in one class. Pairs
+    within the largest class need no more links; every set outside it is compared with all others. So a group of near
+    copies costs what its size is, not its square, and no component depends on the hubs.
+    """
+    spark, half = sets.sparkSession, SETS // 2
+    unit = F.when(F.col("n") <= SETS, F.col("key")).otherwise(F.xxhash64("key", "piece")).alias("unit")
+    pieces = sizes.withColumn("pieces", F.ceil(F.col("n") / SETS).cast("long"))
+    rows = sets.join(pieces, "key").withColumn("piece", F.pmod(F.xxhash64("id", F.lit("piece")), F.col("pieces"))).select(unit, "id", "hashes")
+    large = sizes.where(F.col("n") > SETS)
+    if large.isEmpty():
+        return components(spark, _alike(rows), scratch)
+    hubs = loose.join(large, "key").groupBy("key", F.pmod(F.xxhash64("id", F.lit("hub")), F.lit(HUBS)).alias("hub")).agg(F.min(F.struct("own", "id"))["id"].alias("id"))
+    hubs = scratch.save(hubs.join(pieces, "key").select("id", "n", "pieces"), "hubs")
+    copies = sets.join(hubs, "id").withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1))).select(unit, "id", "hashes")
+    near = scratch.save(_alike(rows.union(copies)), "near")
+    label = components(spark, near, scratch)
+    members = loose.join(large.select("key"), "key").join(label.withColumnRenamed("node", "id"), "id", "left").select("id", "key", F.coalesce("component", "id").alias("class"))
+    members = scratch.save(members, "members")
+    classes = scratch.save(members.groupBy("key", "class").agg(F.count("*").alias("n")), "classes")
+    main = classes.groupBy("key").agg(F.max(F.struct("n", "class")).alias("main"), F.sum("n").alias("all"))
+    main = scratch.save(main.select("key", F.col("main.class").alias("main"), F.col("main.n").alias("inner"), (F.col("all") - F.col("main.n")).alias("outer")).where("outer > 0"), "main")
+    if main.isEmpty():
+        return label
+    # pieces of the largest class are numbered first, then those of the other sets, which meet all
+    at = lambda n: F.ceil(F.col(n) / half).cast("long")
+    piece = lambda n: F.pmod(F.xxhash64("id", F.lit("piece")), at(n))
+    placed = members.join(main, "key").withColumn("inside", F.col("class") == F.col("main"))
+    placed = placed.withColumn("piece", F.when(F.col("inside"), piece("inner")).otherwise(at("inner") + piece("outer")))
+    meets = F.sequence(F.when(F.col("inside"), at("inner")).otherwise(F.lit(0).cast("long")), at("inner") + at("outer") - 1)
+    placed = placed.select("id", F.explode(meets).alias("other"), "key", "piece").select("id", F.xxhash64("key", F.least("piece", "other"), F.greatest("piece", "other")).alias("unit"))
+    placed = scratch.save(placed, "placed")
+    more = _alike(sets.select("id", "hashes").join(placed, "id").select("unit", "id", "hashes"))
+    return components(spark, label.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more), scratch)
+
+
+def _alike(rows: DataFrame) -> DataFrame:
+    """From unit, id, hashes: links a, b that connect all pairs of similarity 0.8 or more within each unit."""
+    return rows.repartition("unit").sortWithinPartitions("unit").mapInArrow(_alike_runs, "a long, b long")
+
+
 def similar_documents(docs: DataFrame, id_col: str, print_col: str, text_col: str = "text", shingle: int = 5, most: int = 80, words: int = 4) -> DataFrame:
     """Per row of docs: id_col, print_col (a hash of the text), set (long, the same for equal shingle sets) and component.
 
     Components are those of all pairs whose sets of shingles have a Jaccard similarity of 0.8 or more. Sets that
-    share a hash of their prefixes are proposed, which no such pair escapes; fingerprints of the sets that differ
-    in more than `most` bits discard proposals; what remains is compared exactly within the proposals' components.
+    share a hash of their prefixes are proposed, which no such pair escapes. Proposals are discarded where the first
+    shared hash comes so late that the rest can't reach 0.8, and where fingerprints of the sets differ in more than
+    `most` bits; what remains is compared exactly within the proposals' components.
     Texts without words are one set. An empty table gives an empty result. The result is written; what led to it goes.
     """
     import xxhash
@@ -332,32 +445,42 @@ def similar_documents(docs: DataFrame, id_col: str, print_col: str, text_col: st
     named = docs.select(F.col(id_col).alias("doc"), F.col(print_col).alias("print"), F.col(text_col).alias("body"))
     kinds = f"doc {named.schema['doc'].dataType.simpleString()}, print long"
 
+    common, seen = common_hashes(named.select("print", "body"), shingle, scratch)
+
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)
                 sets = [np.unique(shingle_hashes(t, shingle)) for t in batch.column(2).to_pylist()]
                 found = [_majority(x, words) for x in sets]
+                often = [_often(x, common, seen) for x in sets]
+                own = [int((o == 0).sum()) for o in often]
+                keys = [prefix(x, o) for x, o in zip(sets, often)]
+                last = [prefix_end(k, np.sort(o)[: len(k)]) for k, o in zip(keys, often)]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), batch.column(1), pa.array([_signed(xxhash.xxh64_intdigest(x.tobytes())) for x in sets], pa.int64()), *(pa.array([f[k] for f in found], pa.int64()) for k in range(words)), _packed(pivot_distances(np.array(found, np.int64).reshape(-1, words).view(np.uint64))), pa.array([prefix(x).view(np.int64) for x in sets], pa.list_(pa.int64()))],
-                    names=["doc", "print", "set", *cols, "d", "keys"],
+                    [batch.column(0), batch.column(1), pa.array([_signed(xxhash.xxh64_intdigest(x.tobytes())) for x in sets], pa.int64()), *(pa.array([f[k] for f in found], pa.int64()) for k in range(words)), _packed(pivot_distances(np.array(found, np.int64).reshape(-1, words).view(np.uint64))), pa.array([k.view(np.int64) for k in keys], pa.list_(pa.int64())), *(pa.array(x, pa.int64()) for x in (list(map(len, sets)), own, last))],
+                    names=["doc", "print", "set", *cols, "d", "keys", "size", "own", "last"],
                 )
 
-    rows = scratch.save(named.mapInArrow(sketch, f"{kinds}, set long, {', '.join(f'{c} long' for c in cols)}, d binary, keys array<long>"), "sketches")
-    keyed = rows.select(F.col("set").alias("id"), F.explode("keys").alias("key"))
+    rows = scratch.save(named.mapInArrow(sketch, f"{kinds}, set long, {', '.join(f'{c} long' for c in cols)}, d binary, keys array<long>, size long, own long, last long"), "sketches")
+    # room: a set's hashes from this one on. A pair's first shared hash has all that they share behind it
+    keyed = rows.select(F.col("set").alias("id"), "size", F.posexplode("keys").alias("at", "key")).select("id", "key", "size", (F.col("size") - F.col("at")).alias("room"))
     # equal sets have equal keys: count each once
-    first = rows.groupBy("set").agg(F.min(F.struct(F.col("doc").isNull().alias("none"), "doc", "print")).alias("first"), *[F.first(c).alias(c) for c in (*cols, "d")])
-    first = scratch.save(first.select(F.col("set").alias("id"), "first.doc", "first.print", *cols, "d"), "sets")
+    first = rows.groupBy("set").agg(F.min(F.struct(F.col("doc").isNull().alias("none"), "doc", "print")).alias("first"), *[F.first(c).alias(c) for c in (*cols, "d", "own", "last")], F.first(F.col("size") - F.size("keys")).alias("rest"))
+    first = scratch.save(first.select(F.col("set").alias("id"), "first.doc", "first.print", *cols, "d", "own", "last", "rest"), "sets")
     keyed = scratch.save(keyed.distinct(), "keys")
-    counts = scratch.save(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "counts")
+    counts = scratch.save(keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("size").alias("low")).where("n > 1"), "counts")
     shared = scratch.save(keyed.join(counts, "key"), "shared")
     scratch.drop(keyed)
-    sized = shared.join(first.select("id", *cols, "d"), "id")
-    proposed = scratch.save(_units(sized, [*cols, "d"], BLOCK).mapInArrow(lambda batches: _link_runs(batches, words, most), "a long, b long").distinct(), "proposed")
+    held = scratch.save(shared.groupBy("id").agg(F.count("*").alias("held")), "held")
+    known = first.join(held, "id").select("id", *cols, "d", "last", (F.col("rest") + F.col("held")).alias("left"))
+    # what no partner of any size at the key can make up for goes at once
+    sized = shared.where("9 * room >= 4 * (size + low)").join(known, "id")
+    proposed = scratch.save(_units(sized, [*cols, "d", *PLACE], BLOCK).mapInArrow(lambda batches: _link_runs(batches, words, most, True), "a long, b long").distinct(), "proposed")
     scratch.drop(shared)
     scratch.drop(counts)
     loose = components(spark, proposed, scratch).select(F.col("node").alias("id"), F.col("component").alias("key"))
-    loose = scratch.save(loose.join(first.select("id", "doc", "print"), "id").select("id", "key", F.col("doc").alias("_doc"), F.col("print").alias("_print")), "loose")
+    loose = scratch.save(loose.join(first.select("id", "doc", "print", "own"), "id").select("id", "key", "own", F.col("doc").alias("_doc"), F.col("print").alias("_print")), "loose")
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -370,8 +493,7 @@ def similar_documents(docs: DataFrame, id_col: str, print_col: str, text_col: st
     # of rows equal in id and text one is enough
     sets = scratch.save(texts.groupBy("id", "key").agg(F.first("body").alias("body")).mapInArrow(hashes, "id long, key long, hashes array<long>"), "hashes")
     sizes = scratch.save(loose.groupBy("key").agg(F.count("*").alias("n")), "sizes")
-    links = _units(sets.join(sizes, "key"), ["hashes"], SETS).mapInArrow(_alike_runs, "a long, b long")
-    label = components(spark, links, scratch).select(F.col("node").alias("set"), "component")
+    label = _exact_components(sets, sizes, loose.select("id", "key", "own"), scratch).select(F.col("node").alias("set"), "component")
     scratch.drop(sets)
     out = rows.select(F.col("doc").alias(id_col), F.col("print").alias(print_col), "set").join(label, "set", "left").withColumn("component", F.coalesce("component", "set"))
     out = scratch.save(out, "similar")

@@ -101,6 +101,89 @@ def test_units_of_many_sets_lose_no_pair(spark, monkeypatch):
     assert [r.doc_id for r in cp.near_dedup(spark, frame(spark, rows), "").collect()] == [0]
 
 
+def saved_tables(monkeypatch, spark):
+    """What each scratch table held, by name: rows, and the most rows of a key."""
+    from neolexis.llm import simhash
+
+    seen, save = {}, simhash.Scratch.save
+
+    def record(self, df, name):
+        out = save(self, df, name)
+        most = out.groupBy("key").count().agg(F.max("count")).first()[0] if "key" in out.columns else None
+        seen.setdefault(name, (out.count(), most))
+        return out
+
+    monkeypatch.setattr(simhash.Scratch, "save", record)
+    return seen
+
+
+def test_a_common_line_proposes_few_pairs(spark, monkeypatch):
+    from neolexis.llm import simhash
+
+    monkeypatch.setattr(simhash, "SAMPLED", 4, raising=False)
+    seen = saved_tables(monkeypatch, spark)
+    line = " ".join(f"line{i}" for i in range(24))
+    rows = [(k, " ".join(f"w{k}x{i}" for i in range(50)) + " " + line, "en", "s", 1) for k in range(300)]
+    rows += [(1000 + k, rows[k][1] + " end", "en", "s", 1) for k in range(5)]
+    assert sorted(r.doc_id for r in cp.near_dedup(spark, frame(spark, rows), "").collect()) == list(range(300))
+    # by the value of hashes, all 305 texts met at one hash of the line
+    assert seen["shared"][1] <= 4
+
+
+def family(r):
+    """Near copies of one text, from lightly to heavily edited, a common line in most texts, and a chain."""
+    base = [f"b{i}" for i in range(140)]
+    rows = [(0, " ".join(base), "en", "s", 1)]
+    for k in range(1, 90):
+        w = list(base)
+        for at in r.sample(range(5, 135), r.choice([1, 1, 1, 2, 2, 3, 4, 6])):
+            w[at] = r.choice([f"e{k}x{at}", "edited", f"e{at}"])
+        rows.append((k, " ".join(w[r.randrange(3) :]), "en", "s", 1))
+    line = " ".join(f"line{i}" for i in range(20))
+    rows += [(100 + k, " ".join(f"w{k // 2}x{i}" for i in range(60)) + " " + line + (" x" * r.randrange(12)), "en", "s", 1) for k in range(60)]
+    return rows + [(200 + k, " ".join(f"v{i}" for i in range(k * 4, k * 4 + 60)), "en", "s", 1) for k in range(30)]
+
+
+def test_near_copies_of_one_text_by_any_order_of_hashes(spark, monkeypatch):
+    from neolexis.llm import simhash
+
+    rows = family(random.Random(8))
+    sets = {i: shingles(t) for i, t, *_ in rows}
+    label = {i: i for i in sets}
+    for a in sets:
+        for b in sets:
+            if a < b and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                x, y = sorted((label[a], label[b]))
+                label = {k: x if v == y else v for k, v in label.items()}
+    want = sorted(set(label.values()))
+    assert 10 < sum(i < 100 for i in want) < 80
+    monkeypatch.setattr(simhash, "SETS", 8)
+    monkeypatch.setattr(simhash, "BLOCK", 16)
+    for sampled, common in ((1, 1 << 18), (3, 1 << 18), (1, 40)):
+        monkeypatch.setattr(simhash, "SAMPLED", sampled, raising=False)
+        monkeypatch.setattr(simhash, "COMMON", common, raising=False)
+        assert sorted(r.doc_id for r in cp.near_dedup(spark, frame(spark, rows), "").collect()) == want
+
+
+def test_a_group_of_near_copies_is_not_compared_pair_by_pair(spark, monkeypatch):
+    from neolexis.llm import simhash
+    from neolexis.llm.common import Scratch
+
+    monkeypatch.setattr(simhash, "SETS", 8)
+    seen = saved_tables(monkeypatch, spark)
+    # near copies of one set, sets apart from all, and two classes that only sets outside the largest class connect
+    members = [list(range(100)) + [1000 + k, 2000 + k] for k in range(120)] + [list(range(30)) + list(range(10_000 * k, 10_000 * k + 70)) for k in range(1, 4)]
+    members += [list(range(500 + 5 * k, 600 + 5 * k)) for k in range(12)]
+    sets = spark.createDataFrame([(k, 7, sorted(m)) for k, m in enumerate(members)], "id long, key long, hashes array<long>")
+    loose = spark.createDataFrame([(k, 7, 2) for k in range(len(members))], "id long, key long, own long")
+    sizes = spark.createDataFrame([(7, len(members))], "key long, n long")
+    label = {r.node: r.component for r in simhash._exact_components(sets, sizes, loose, Scratch(spark)).collect()}
+    assert {label[k] for k in range(120)} == {0} and {label[k] for k in range(123, 135)} == {123}
+    assert not {120, 121, 122} & {k for k, v in label.items() if k != v}
+    n = len(members)
+    assert seen["placed"][0] <= 2 * 15 * (n // 4 + 2) < n * n // 4
+
+
 def test_personal_data_is_masked(spark):
     rows, _ = documents()
     out = {r.doc_id: r for r in cp.personal_data(spark, frame(spark, rows), "").collect()}
