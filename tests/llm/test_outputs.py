@@ -133,6 +133,22 @@ def test_mixing_is_what_its_sql_gives(spark, tmp_path):
     assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
 
 
+def test_training_reads_the_whole_mix_at_an_even_rate(spark):
+    rng = random.Random(6)
+    docs = spark.createDataFrame([(i, rng.choice("aaaabbc"), "w " * rng.choice([1, 3, 9])) for i in range(3000)], "doc_id long, source string, text string")
+    uses = mixing.training_order(mixing.mix(docs, Scratch(spark), ["doc_id", "source"])).collect()
+    total, before = sum(r.words for r in uses), 0
+    for r in uses:  # words read before a use are its progress, up to a document of each source
+        assert 0 <= r.progress < 1 and abs(r.progress * total - before) <= 30
+        before += r.words
+    assert [r.progress for r in uses] == sorted(r.progress for r in uses)
+    # around the middle of the schedule all rates are 1: shares are those of the targets
+    share = lambda low, high, s: sum(r.words for r in uses if low <= r.position < high and r.source == s) / sum(r.words for r in uses if low <= r.position < high)
+    whole = {s: sum(r.words for r in uses if r.source == s) / total for s in "abc"}
+    assert all(share(0.4, 0.6, s) == pytest.approx(whole[s], abs=0.02) for s in "abc")
+    assert share(0, 0.2, "a") < whole["a"] < share(0.8, 1, "a") and share(0, 0.2, "c") > whole["c"] > share(0.8, 1, "c")
+
+
 def test_curriculum_inverts_the_integral(spark):
     for first, last in ((0.5, 1.5), (1.0, 1.0), (1.5, 0.5), (0.0, 2.0)):
         for t in (0.0, 0.1, 0.5, 0.9, 1.0):
